@@ -20,16 +20,18 @@ def effective_at(
     at: str,
     payload: Sequence[str],
     prefer: Sequence[Column] = (),
+    until: object = None,
 ) -> DataFrame:
     """Left as-of join: each fact with the version valid on its day.
 
     Versions are listed once per calendar month they touch, so the join is an
     equi-join on the keys and the month with the exact dates as a residual test.
-    Open intervals end at the last fact. Of several versions in force, ``prefer``
+    Open intervals end at ``until``, a date no fact lies after; without it the last
+    fact is looked up first. Of several versions in force, ``prefer``
     decides, then the latest ``valid_from``.
     """
     month = lambda d: (F.year(d) * 12 + F.month(d)).cast("int")
-    horizon = facts.agg(F.max(at)).scalar()
+    horizon = facts.agg(F.max(at)).scalar() if until is None else F.lit(until).cast("date")
     last = F.least(F.coalesce("valid_to", horizon), horizon)
     listed = (
         versions.withColumn("_from", month(F.col("valid_from")))
@@ -55,13 +57,13 @@ def effective_at(
     return picked.select(*facts.columns, *[F.col(f"_version.v.{c}").alias(c) for c in payload])
 
 
-def effective_weight(usage: DataFrame, weights: DataFrame) -> DataFrame:
+def effective_weight(usage: DataFrame, weights: DataFrame, until: object = None) -> DataFrame:
     return effective_at(
-        usage, weights, ["source_id"], fact_key=["usage_id"], at="used_on", payload=["weight"]
+        usage, weights, ["source_id"], fact_key=["usage_id"], at="used_on", payload=["weight"], until=until
     )
 
 
-def effective_tariff(usage: DataFrame, tariffs: DataFrame) -> DataFrame:
+def effective_tariff(usage: DataFrame, tariffs: DataFrame, until: object = None) -> DataFrame:
     """A tariff for the source type beats one for any source type, then the later one."""
     # Usage asks for its own type and for "any"; a NULL key would not join.
     asked = usage.withColumn("_type", F.explode(F.array(F.col("source_type"), F.lit("*"))))
@@ -73,6 +75,7 @@ def effective_tariff(usage: DataFrame, tariffs: DataFrame) -> DataFrame:
         fact_key=["usage_id", "right_type"],
         at="used_on",
         payload=["tariff_id", "base_rate_ugx", "valid_from"],
+        until=until,
     )
     specific = F.col("_type") != "*"
     choice = F.when(
@@ -86,7 +89,9 @@ def effective_tariff(usage: DataFrame, tariffs: DataFrame) -> DataFrame:
     )
 
 
-def active_split(usage: DataFrame, sheets: DataFrame, recording_works: DataFrame) -> DataFrame:
+def active_split(
+    usage: DataFrame, sheets: DataFrame, recording_works: DataFrame, until: object = None
+) -> DataFrame:
     """The active sheet in force: of the recording for master rights, of its works otherwise."""
     active = sheets.where(F.col("status") == "active")
     by_recording = active.where(F.col("right_type") == "master").select(
@@ -105,7 +110,7 @@ def active_split(usage: DataFrame, sheets: DataFrame, recording_works: DataFrame
         fact_key=["usage_id", "right_type"],
         at="used_on",
         payload=["split_sheet_id"],
-        prefer=[],
+        until=until,
     )
 
 

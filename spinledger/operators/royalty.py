@@ -211,11 +211,16 @@ def allocate(
 
 
 def usage_inputs(
-    usage: DataFrame, weights: DataFrame, tariffs: DataFrame, sheets: DataFrame, recording_works: DataFrame
+    usage: DataFrame,
+    weights: DataFrame,
+    tariffs: DataFrame,
+    sheets: DataFrame,
+    recording_works: DataFrame,
+    until: object = None,
 ) -> DataFrame:
     """Freeze the weight, tariff and split in force for each usage row and right."""
-    weighted = effective_weight(usage, weights)
-    return active_split(effective_tariff(weighted, tariffs), sheets, recording_works)
+    weighted = effective_weight(usage, weights, until)
+    return active_split(effective_tariff(weighted, tariffs, until), sheets, recording_works, until)
 
 
 def royalty_run(
@@ -243,32 +248,28 @@ def royalty_run(
     asked = eligible.withColumn("usage_id", F.col("detection_id")).withColumn(
         "right_type", F.explode(F.array(*[F.lit(r) for r in right_types]))
     )
-    frozen = usage_inputs(asked, weights, tariffs, sheets, recording_works)
+    frozen = usage_inputs(asked, weights, tariffs, sheets, recording_works, until=period[1])
+    judged_sheets = recipient_errors(lines).select("split_sheet_id", F.size("errors").alias("_faults"))
+    checked = salted_lookup(frozen, judged_sheets, ["split_sheet_id"], spread_by=["usage_id", "right_type"])
     missing = error_list(
         (F.col("weight").isNull(), "no_source_weight"),
         (F.col("tariff_id").isNull(), "no_tariff"),
         (F.col("split_sheet_id").isNull(), "no_active_split"),
+        (F.col("split_sheet_id").isNotNull() & F.col("_faults").isNull(), "split_empty"),
+        (F.col("_faults") > 0, "split_invalid"),
     )
-    judged = frozen.withColumn("hold_reasons", missing)
+    judged = checked.withColumn("hold_reasons", missing).drop("_faults")
     run = stable_id(F.lit(str(catalog_id)), F.lit(str(period[0])), F.lit(str(period[1])), F.lit(calculation_version))
     priced = gross(judged.where(F.size("hold_reasons") == 0).drop("hold_reasons")).withColumn("royalty_run_id", run)
     items = priced.withColumn("usage_item_id", stable_id("royalty_run_id", "detection_id", "right_type"))
     allocations = allocate(items, lines).withColumn("allocation_id", stable_id("usage_item_id", "split_line_id"))
-    _, refused = validate_recipients(lines)
-    unsettled = items.join(refused.select("split_sheet_id"), "split_sheet_id", "left_semi")
-    no_lines = items.join(lines.select("split_sheet_id").distinct(), "split_sheet_id", "left_anti")
-    reasons = lambda text: F.array(F.lit(text))
-    not_paid = unsettled.withColumn("hold_reasons", reasons("split_invalid")).unionByName(
-        no_lines.withColumn("hold_reasons", reasons("split_empty"))
-    )
     columns = ["detection_id", "right_type", "hold_reasons"]
     all_held = (
-        held.withColumn("right_type", F.lit(None).cast("string")).select(*columns)
+        held.withColumn("right_type", F.lit(None).cast("string"))
+        .select(*columns)
         .unionByName(judged.where(F.size("hold_reasons") > 0).select(*columns))
-        .unionByName(not_paid.select(*columns))
     )
-    paid = items.join(not_paid.select("usage_item_id"), "usage_item_id", "left_anti")
-    return {"usage_items": paid, "allocations": allocations, "held": all_held}
+    return {"usage_items": items, "allocations": allocations, "held": all_held}
 
 
 def payout_batches(allocations: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -127,14 +127,15 @@ qualify nth <= 2""",
     "marks": """
 select *, row_number() over (partition by kind, clip_id order by anchor_frame, nth) - 1 as hash_index,
        count(*) over (partition by kind, clip_id) as hashes from paired""",
+    "steps": """
+select delta_frames, s, td, greatest(1, cast(round_even(delta_frames * s, 0) as int)) + td as key
+  from (select distinct delta_frames from marks), (select unnest([0.90, 0.925, 0.95, 0.975, 1.0, 1.025, 1.05, 1.075, 1.10]::double[]) as s), (select unnest([-1, 0, 1]) as td)""",
     "hits": """
 select q.clip_id as query_id, t.clip_id as track_id, s as tempo_scale, t.anchor_frame - cast(round_even(q.anchor_frame * s, 0) as int) as offset_frames,
        q.hash_index as query_index, rd as ratio_step, td as time_step, t.hash_index, q.hashes as query_hashes, t.hashes as track_hashes
-  from (select * from marks where kind = 'd') q
-  cross join (select unnest([0.90, 0.925, 0.95, 0.975, 1.0, 1.025, 1.05, 1.075, 1.10]::double[]) as s)
-  cross join (select unnest([-1, 0, 1]) as rd) cross join (select unnest([-1, 0, 1]) as td)
-  join (select * from marks where kind = 'b') t
-    on t.ratio_bin = q.ratio_bin + rd and t.delta_frames = greatest(1, cast(round_even(q.delta_frames * s, 0) as int)) + td""",
+  from (select m.*, st.s, st.td, st.delta_frames as q_delta, rd, m.ratio_bin - rd as q_ratio from (select * from marks where kind = 'b') m
+         join steps st on st.key = m.delta_frames, (select unnest([-1, 0, 1]) as rd)) t
+  join (select * from marks where kind = 'd') q on q.ratio_bin = t.q_ratio and q.delta_frames = t.q_delta""",
     "first_hits": """
 select query_id, track_id, tempo_scale, offset_frames, query_index, query_hashes, track_hashes, min((ratio_step, time_step, hash_index)) as h from hits group by all""",
     "votes": """
@@ -188,6 +189,23 @@ select event_id as chunk_id, user_id % 25 as source_id, case event_type when 'vi
 }
 
 
+def spark_round(sql: str) -> str:
+    """Round doubles as Spark does: half up on the shortest decimal text of the value."""
+    out, at = [], 0
+    for found in re.finditer(r"\bround\(", sql):
+        if found.start() < at:
+            continue
+        depth, i = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            i += 1
+        value, places = sql[found.end() : i - 1].rsplit(",", 1)
+        out.append(sql[at : found.start()])
+        out.append(f"cast(round(cast(cast({spark_round(value)} as varchar) as decimal(38, 20)),{places}) as double)")
+        at = i
+    return "".join(out) + sql[at:]
+
+
 def with_tables(query: str) -> str:
     """``query`` preceded by the WITH clauses of every projection it uses."""
     needed: list[str] = []
@@ -204,4 +222,4 @@ def with_tables(query: str) -> str:
         if name not in needed and re.search(rf"\b(from|join)\s+{name}\b", query):
             visit_body(name)
     clauses = ",\n".join(f"{name} as ({TABLES[name].strip()})" for name in needed)
-    return f"with {clauses}\n{query.strip()}" if clauses else query.strip()
+    return spark_round(f"with {clauses}\n{query.strip()}" if clauses else query.strip())
