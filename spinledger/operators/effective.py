@@ -156,7 +156,7 @@ def supersede(sheets: DataFrame, activated: DataFrame) -> DataFrame:
     return (
         sheets.join(new, same_asset, "left")
         .withColumn("_older", older)
-        .withColumn("valid_to", F.when("_older", F.col("_new_from")).otherwise(F.col("valid_to")))
+        .withColumn("valid_to", F.when(F.col("_older"), F.col("_new_from")).otherwise(F.col("valid_to")))
         .withColumn("status", F.when(F.col("_older"), "superseded").otherwise(F.col("status")))
         .select(*sheets.columns)
     )

@@ -328,8 +328,8 @@ class Tables:
 
     @property
     def manifests(self) -> DataFrame:
-        """One manifest per event; ``event_id % 13`` plants a fault."""
-        e, fault = F.col("event_id"), F.col("event_id") % 13
+        """One manifest per event; ``event_id % 26`` plants a fault in half of them."""
+        e, fault = F.col("event_id"), F.col("event_id") % 26
         iso = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
         later = F.date_format(F.col("ts").cast("timestamp") + F.expr("interval 30 seconds"), "yyyy-MM-dd'T'HH:mm:ss")
         digest = F.sha2(e.cast("string"), 256)
