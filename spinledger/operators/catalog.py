@@ -226,7 +226,7 @@ def onboarding_conflicts(docs: DataFrame, tables: dict[str, DataFrame]) -> DataF
     documents that come first for all their undecided values and refuses those that
     share a value with an accepted one. Only values claimed twice take part.
     """
-    claims = unique_claims(docs)
+    claims = cut(unique_claims(docs))
     value = ["kind", "value"]
     inside = claims.where("n > 1").select("doc_id", *value, F.lit("inside").alias("conflict"))
     existing = salted_lookup(claims, taken_values(tables), value, spread_by=["doc_id"], how="left_semi").select(
@@ -267,7 +267,8 @@ def onboard(docs: DataFrame, tables: dict[str, DataFrame], stored: DataFrame) ->
     replayed = sound.select("doc_id").join(stored, "doc_id")
     fresh = sound.join(stored.select("doc_id"), "doc_id", "left_anti")
     conflicts = onboarding_conflicts(fresh, tables)
-    accepted = fresh.join(conflicts.select("doc_id").distinct(), "doc_id", "left_anti")
+    # Thirteen tables are written from these rows: settle them once.
+    accepted = cut(fresh.join(conflicts.select("doc_id").distinct(), "doc_id", "left_anti"))
     new = flatten_onboarding(accepted)
     mapping = id_mapping(accepted)
     audit = accepted.select(

@@ -25,13 +25,21 @@ def read_manifests(spark: SparkSession, path: str, *, stream: bool = False, **op
 
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Each file is one JSON map; the files are spread over the tasks."""
-    text = spark.read.text(path, wholetext=True)
+    return _parsed(spark.read.text(path, wholetext=True), schema)
+
+
+def _parsed(text: DataFrame, schema: str) -> DataFrame:
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
 
 
 def read_station_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log rows with their position in the source's list as ``log_index``."""
-    rows = _documents(spark, path, S.LOG_ENTRIES).select(F.explode("doc").alias("source_code", "entries"))
+    return parse_station_logs(spark.read.text(path, wholetext=True))
+
+
+def parse_station_logs(text: DataFrame) -> DataFrame:
+    """Log rows of JSON maps held in a text column ``value``."""
+    rows = _parsed(text, S.LOG_ENTRIES).select(F.explode("doc").alias("source_code", "entries"))
     entry = rows.select("source_code", F.posexplode("entries").alias("log_index", "e"))
     return entry.select(
         "source_code",
@@ -87,8 +95,8 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return filled.withColumn("errors", source_errors())
 
 
-def read_match_windows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.MATCH_WINDOWS).option("multiLine", "true").json(path)
+def read_match_windows(spark: SparkSession, path: str, *, multiLine: str = "true") -> DataFrame:
+    return spark.read.schema(S.MATCH_WINDOWS).option("multiLine", multiLine).json(path)
 
 
 def read_onboarding(spark: SparkSession, path: str) -> DataFrame:

@@ -297,7 +297,7 @@ def _(t: Tables) -> DataFrame:
       cast(120 + p_size as bigint) as seconds, cast(p_partkey % 20 + 1 as bigint) as track_number, 'Star ' || (p_partkey // 20) as stage_name from part where p_partkey // 20 in (select d from {ACCEPTED})""",
 )
 def _(t: Tables) -> DataFrame:
-    new = catalog.flatten_onboarding(accepted(t))
+    new = onboarded(t)
     return (
         new["recordings"]
         .join(new["release_recordings"], "recording_id")
@@ -307,12 +307,6 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-def accepted(t: Tables) -> DataFrame:
-    sound = validation.validate_onboarding(documents(t)).where(F.size("errors") == 0).drop("errors")
-    refused = catalog.onboarding_conflicts(sound, existing(t)).select("doc_id").distinct()
-    return sound.join(refused, "doc_id", "left_anti")
-
-
 @query(
     "onboarded_rows",
     f"""select 'recordings' as kind, count(*) as n from part where p_partkey // 20 in (select d from {ACCEPTED})
@@ -324,10 +318,9 @@ def accepted(t: Tables) -> DataFrame:
     union all select 'mapping', count(*) * 34 from {ACCEPTED}""".replace("count(*) * 34", "count(*) * (1 + 3 + 5 + 1 + 20 + 2)"),
 )
 def _(t: Tables) -> DataFrame:
-    docs = accepted(t)
-    new = catalog.flatten_onboarding(docs)
+    new = onboarded(t)
     names = ("recordings", "music_works", "work_contributors", "recording_works", "rights_parties", "organizations", "releases", "split_sheets", "split_lines")
-    counts = catalog.id_mapping(docs).agg(F.count(F.lit(1)).alias("n")).select(F.lit("mapping").alias("kind"), "n")
+    counts = new["mapping"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("mapping").alias("kind"), "n")
     for name in names:
         counts = counts.unionByName(new[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n"))
     return counts
