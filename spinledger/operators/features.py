@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig, SegmenterConfig
 from spinledger.functions.columns import half_even
+from spinledger.functions.lineage import cut
 from spinledger.functions.quantiles import exact_medians
 from spinledger.functions.skew import salted_lookup
 from spinledger.functions.slices import CORE, SLICE, scan_slices, slice_of, with_halo
@@ -376,9 +377,10 @@ def suppress_close(peaks: DataFrame, gap: float, width: float = 3_600.0) -> Data
 
 def acoustic_boundaries(features: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
     """Novelty peaks that mark likely transitions."""
-    rough = novelty(feature_deltas(features))
-    scores = moving_average(rough, "novelty", cfg.smoothing_radius, "score")
-    kept = suppress_close(local_maxima(scores, cfg), cfg.boundary_gap_seconds)
+    # Each stage is read several times by the next, so it is settled once.
+    deltas = cut(feature_deltas(features))
+    scores = cut(moving_average(novelty(deltas), "novelty", cfg.smoothing_radius, "score"))
+    kept = suppress_close(cut(local_maxima(scores, cfg)), cfg.boundary_gap_seconds)
     return kept.select(
         "session_id",
         "at_seconds",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinledger.functions.columns import error_list, is_blank, stable_id
+from spinledger.functions.lineage import cut
 from spinledger.functions.skew import salted_lookup
 from spinledger.operators.effective import active_split, effective_tariff, effective_weight
 from spinledger.schemas import BASIS_POINTS
@@ -258,7 +259,7 @@ def royalty_run(
         (F.col("split_sheet_id").isNotNull() & F.col("_faults").isNull(), "split_empty"),
         (F.col("_faults") > 0, "split_invalid"),
     )
-    judged = checked.withColumn("hold_reasons", missing).drop("_faults")
+    judged = cut(checked.withColumn("hold_reasons", missing).drop("_faults"))
     run = stable_id(F.lit(str(catalog_id)), F.lit(str(period[0])), F.lit(str(period[1])), F.lit(calculation_version))
     priced = gross(judged.where(F.size("hold_reasons") == 0).drop("hold_reasons")).withColumn("royalty_run_id", run)
     items = priced.withColumn("usage_item_id", stable_id("royalty_run_id", "detection_id", "right_type"))

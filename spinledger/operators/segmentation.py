@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spinledger.config import SegmenterConfig
 from spinledger.functions.columns import error_list, is_blank, stable_id
+from spinledger.functions.lineage import cut
 from spinledger.functions.skew import salted_lookup
 from spinledger.functions.slices import SLICE, scan_slices, slice_of, spanned_slices
 
@@ -280,8 +281,9 @@ def segment(
     cfg: SegmenterConfig = SegmenterConfig(),
 ) -> tuple[DataFrame, DataFrame]:
     """(play events with nearby boundaries, merged boundaries); overlaps are kept."""
-    events = play_events(valid_windows(windows, sessions, cfg.min_confidence), cfg)
+    # Events and boundaries are few beside the windows and read several times below.
+    events = cut(play_events(valid_windows(windows, sessions, cfg.min_confidence), cfg))
     identity = transitions(events)
     both = identity.withColumn("source_order", F.lit(1)) if acoustic is None else all_boundaries(acoustic, identity)
-    merged = merge_boundaries(both, cfg.boundary_merge_seconds)
+    merged = cut(merge_boundaries(both, cfg.boundary_merge_seconds))
     return nearby_boundaries(events, merged, cfg.boundary_merge_seconds), merged

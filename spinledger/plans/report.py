@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinledger.functions.columns import stable_id
+from spinledger.functions.lineage import cut
 from spinledger.operators.reconciliation import (
     agreed_only,
     chunk_counts,
@@ -51,8 +52,9 @@ def shadow_report(
         }
     ).drop("_status")
     listed_logs = logs.join(sources.select("source_code"), "source_code", "left_semi")
-    reconciled = reconcile_log(plays, listed_logs, catalog, tolerance_seconds)
-    gaps = classify_gap(log_gaps(listed_logs, reconciled), catalog)
+    # Ten tables are made from these two.
+    reconciled = cut(reconcile_log(plays, listed_logs, catalog, tolerance_seconds))
+    gaps = cut(classify_gap(log_gaps(listed_logs, reconciled), catalog))
     local, _ = split_gaps(gaps)
     rows = reconciliation_rows(sources, reconciled, gaps)
     regions = reconciled.join(sources.select("source_code", "region"), "source_code")

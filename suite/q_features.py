@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinledger.config import SegmenterConfig
 from spinledger.functions.columns import confidence_hint
+from spinledger.functions.lineage import cut
 from spinledger.operators import features as feat
 from suite.projections import SPECTRUM_CONFIG, Tables
 from suite.registry import query
@@ -175,7 +176,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("local_maxima", "select session_id, frame, round(score, 4) as score from tops")
 def _(t: Tables) -> DataFrame:
-    scores = feat.moving_average(rough(t), "novelty", 2, "score")
+    scores = cut(feat.moving_average(rough(t), "novelty", 2, "score"))
     return feat.local_maxima(scores, FRAMES).select("session_id", F.col("frame").cast("bigint").alias("frame"), F.round("score", 4).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinledger.functions.columns import midpoint, seconds_between, title_artist_key
+from spinledger.functions.lineage import cut
 from spinledger.operators import ops
 from spinledger.operators import reconciliation as rec
 from spinledger.plans.report import report_summary, shadow_report
@@ -27,8 +28,11 @@ def classified(t: Tables) -> DataFrame:
     return rec.classify_gap(rec.log_gaps(t.station_log, reconciled(t)), catalog(t))
 
 
-def log_rows(t: Tables) -> DataFrame:
-    return rec.reconciliation_rows(t.pilot_sources, reconciled(t), classified(t))
+def settled(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reconciled candidates, classified gaps and the rows per source, each computed once."""
+    found = cut(reconciled(t))
+    gaps = rec.classify_gap(rec.log_gaps(t.station_log, found), catalog(t))
+    return found, gaps, rec.reconciliation_rows(t.pilot_sources, found, gaps)
 
 
 @query("title_artist_key", "select recording_id, tkey as text_key from cat_keys")
@@ -74,7 +78,7 @@ GAPS = """select s.source_code, count(g.log_index) filter (is_known) as possible
     f"""select *, round(confirmed_by_log / nullif(confirmed_by_log + candidate_not_in_log, 0), 4) as agreement_rate from ({RECON}) join ({GAPS}) using (source_code)""",
 )
 def _(t: Tables) -> DataFrame:
-    return log_rows(t)
+    return settled(t)[2]
 
 
 @query(
@@ -85,7 +89,8 @@ def _(t: Tables) -> DataFrame:
     join ({GAPS}) using (source_code)""".replace("select *, round(confirmed", "select * exclude (confirmed_by_log), round(confirmed", 1),
 )
 def _(t: Tables) -> DataFrame:
-    return rec.scorecard(t.pilot_sources, reconciled(t), log_rows(t))
+    found, _gaps, rows = settled(t)
+    return rec.scorecard(t.pilot_sources, found, rows)
 
 
 @query(
@@ -119,7 +124,7 @@ def _(t: Tables) -> DataFrame:
     left join (select source_code, count(*) filter (is_known) as m from gaps group by 1) using (source_code) group by 1""",
 )
 def _(t: Tables) -> DataFrame:
-    return ops.quality_by_class(t.candidates, classified(t), t.pilot_sources)
+    return ops.quality_by_class(t.candidates, settled(t)[1], t.pilot_sources)
 
 
 def report(t: Tables) -> dict[str, DataFrame]:
