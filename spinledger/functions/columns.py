@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ def column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Spark may copy a column's expression into a lambda that refers to it, and then
+    computes it again for every element. A lambda variable is never copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_even(value: Column) -> Column:
     """Round to a whole number, ties to even."""
     return F.rint(value).cast("int")

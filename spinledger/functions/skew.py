@@ -33,7 +33,8 @@ def salted_lookup(
     """
     left = facts.withColumn(SALT, salt_of(spread_by, salts))
     right = dims.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, SALT], how).drop(SALT)
+    joined = left.join(right, [*on, SALT], how).drop(SALT)
+    return joined.select(*facts.columns) if how in ("left_semi", "left_anti") else joined
 
 
 def hot_key_salts(rows: DataFrame, keys: Sequence[str], rows_per_salt: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig, SegmenterConfig
-from spinledger.functions.columns import half_even
+from spinledger.functions.columns import half_even, let
 from spinledger.functions.lineage import cut
 from spinledger.functions.quantiles import exact_medians
 from spinledger.functions.skew import salted_lookup
@@ -26,38 +26,38 @@ FRAMES_PER_SLICE = 4_096
 
 def resample(clips: DataFrame, rate: int) -> DataFrame:
     """Linear interpolation of ``samples`` to ``rate``."""
-    n = F.size("samples")
-    last = n - 1
-    count = F.greatest(F.lit(1), half_even(n * F.lit(float(rate)) / F.col("sample_rate")))
-    step = F.col("sample_rate") / F.lit(float(rate))
-
-    def at(i: Column) -> Column:
-        place = i * step
-        left = F.least(F.floor(place).cast("int"), last)
-        part = place - left
-        right = F.least(left + 1, last)
-        return F.get("samples", left) * (1.0 - part) + F.get("samples", right) * part
-
-    changed = F.transform(F.sequence(F.lit(0), count - 1), at)
-    keep = (F.col("sample_rate") == rate) | (n == 0)
-    return clips.withColumn("samples", F.when(keep, F.col("samples")).otherwise(changed)).withColumn(
-        "sample_rate", F.lit(rate)
-    )
+    own = F.col("sample_rate")
+
+    def changed(samples: Column) -> Column:
+        last = F.size(samples) - 1
+        count = F.greatest(F.lit(1), half_even(F.size(samples) * F.lit(float(rate)) / own))
+
+        def at(i: Column) -> Column:
+            place = i * (own / F.lit(float(rate)))
+            left = F.least(F.floor(place).cast("int"), last)
+            part = place - left
+            return F.get(samples, left) * (1.0 - part) + F.get(samples, F.least(left + 1, last)) * part
+
+        return F.transform(F.sequence(F.lit(0), count - 1), at)
+
+    keep = (own == rate) | (F.size("samples") == 0)
+    return clips.withColumn(
+        "samples", F.when(keep, F.col("samples")).otherwise(let(F.col("samples"), changed))
+    ).withColumn("sample_rate", F.lit(rate))
 
 
 def normalize_level(clips: DataFrame) -> DataFrame:
     """Remove the mean and scale to a peak of 1; silent clips become empty."""
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    centred = clips.withColumn("_mean", total / F.size("samples")).withColumn(
-        "samples", F.transform("samples", lambda x: x - F.col("_mean"))
-    )
-    top = F.array_max(F.transform("samples", F.abs))
-    scaled = centred.withColumn("_top", top)
-    empty = F.slice("samples", 1, 0)
-    loud = F.transform("samples", lambda x: x / F.col("_top"))
-    return scaled.withColumn(
-        "samples", F.when(F.coalesce(F.col("_top"), F.lit(0.0)) < 1e-8, empty).otherwise(loud)
-    ).drop("_mean", "_top")
+    mean = total / F.nullif(F.size("samples"), F.lit(0))
+    centred = let(mean, lambda m: F.transform("samples", lambda x: x - m))
+
+    def scaled(samples: Column) -> Column:
+        top = F.array_max(F.transform(samples, F.abs))
+        loud = let(top, lambda t: F.transform(samples, lambda x: x / t))
+        return F.when(F.coalesce(top, F.lit(0.0)) < 1e-8, F.slice(samples, 1, 0)).otherwise(loud)
+
+    return clips.withColumn("samples", let(centred, scaled))
 
 
 def frames(clips: DataFrame, window: int, hop: int, pad_end: bool = True) -> DataFrame:
