@@ -30,7 +30,13 @@ def salted_lookup(
     them, so every pair still meets exactly once. ``how`` is inner, left, left_semi
     or left_anti: the kinds that never need an unmatched dimension row. Small
     dimensions are still broadcast when Spark's size check allows it.
+
+    A dimension about as large as the facts should not be copied: ``salts=1`` joins
+    plainly and leaves a hot key to the adaptive skew join, which splits it.
     """
+    if salts == 1:
+        plain = facts.join(dims, list(on), how)
+        return plain.select(*facts.columns) if how in ("left_semi", "left_anti") else plain
     left = facts.withColumn(SALT, salt_of(spread_by, salts))
     right = dims.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = left.join(right, [*on, SALT], how).drop(SALT)

@@ -22,6 +22,12 @@ from spinledger.operators.effective import overlapping_weights
 Tables = dict[str, DataFrame]
 
 
+# Parents as numerous as their children; these are never copied for salting.
+LARGE = (
+    "capture_chunks", "detection_events", "royalty_usage_items", "royalty_allocations", "payouts", "split_lines", "payout_batches",
+)
+
+
 def _text(*columns: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
@@ -35,10 +41,12 @@ def _differs(a: str, b: str) -> Column:
     return ~F.col(a).eqNullSafe(F.col(b))
 
 
-def _fetch(rows: DataFrame, parent: DataFrame, on: str, key: str, spread: Sequence[str], **columns: str) -> DataFrame:
+def _fetch(
+    rows: DataFrame, parent: DataFrame, on: str, key: str, spread: Sequence[str], salts: int = 8, **columns: str
+) -> DataFrame:
     """Left-join ``parent`` by ``on == key`` and bring over ``columns`` (new name = source)."""
     small = parent.select(F.col(key).alias(on), *[F.col(src).alias(new) for new, src in columns.items()])
-    return salted_lookup(rows, small, [on], spread_by=spread)
+    return salted_lookup(rows, small, [on], spread_by=spread, salts=salts)
 
 
 def audit_split_totals(t: Tables) -> DataFrame:
@@ -81,7 +89,7 @@ def audit_capture_source(t: Tables) -> DataFrame:
 
 def audit_detection_capture(t: Tables) -> DataFrame:
     rows = _fetch(
-        t["detection_events"], t["capture_chunks"], "capture_chunk_id", "capture_chunk_id", ["detection_id"],
+        t["detection_events"], t["capture_chunks"], "capture_chunk_id", "capture_chunk_id", ["detection_id"], 1,
         _source="source_id", _from="started_at", _to="ended_at",
     )
     outside = (F.col("started_at") < F.col("_from")) | (F.col("ended_at") > F.col("_to"))
@@ -98,7 +106,7 @@ def audit_usage_links(t: Tables) -> DataFrame:
     rows = t["royalty_usage_items"]
     rows = _fetch(rows, t["royalty_runs"], "royalty_run_id", "royalty_run_id", spread, _run_catalog="catalog_id")
     rows = _fetch(
-        rows, t["detection_events"], "detection_id", "detection_id", spread, _recording="recording_id", _status="status"
+        rows, t["detection_events"], "detection_id", "detection_id", spread, 1, _recording="recording_id", _status="status"
     )
     rows = _fetch(rows, t["recordings"], "_recording", "recording_id", spread, _recording_catalog="catalog_id")
     rows = _fetch(
@@ -127,7 +135,7 @@ def audit_usage_links(t: Tables) -> DataFrame:
 def audit_allocation_snapshot(t: Tables) -> DataFrame:
     spread = ["allocation_id"]
     rows = _fetch(
-        t["royalty_allocations"], t["royalty_usage_items"], "usage_item_id", "usage_item_id", spread, _sheet="split_sheet_id"
+        t["royalty_allocations"], t["royalty_usage_items"], "usage_item_id", "usage_item_id", spread, 1, _sheet="split_sheet_id"
     )
     rows = _fetch(
         rows, t["split_lines"], "split_line_id", "split_line_id", spread,
@@ -157,9 +165,9 @@ def audit_payout_account(t: Tables) -> DataFrame:
 
 def audit_payout_item(t: Tables) -> DataFrame:
     spread = ["allocation_id"]
-    rows = _fetch(t["payout_allocation_items"], t["payouts"], "payout_id", "payout_id", spread, _party="party_id")
+    rows = _fetch(t["payout_allocation_items"], t["payouts"], "payout_id", "payout_id", spread, 1, _party="party_id")
     rows = _fetch(
-        rows, t["royalty_allocations"], "allocation_id", "allocation_id", ["payout_id"],
+        rows, t["royalty_allocations"], "allocation_id", "allocation_id", ["payout_id"], 1,
         _owed_to="party_id", _owed="settled_amount",
     )
     bad = rows.where(_differs("_party", "_owed_to") | _differs("amount_ugx", "_owed"))
@@ -298,7 +306,8 @@ def audit_foreign_keys(t: Tables) -> DataFrame | None:
             continue
         refs = t[child].where(F.col(column).isNotNull()).select(F.col(key).alias("_key"), F.col(column).alias("_ref"))
         targets = t[parent].select(F.col(target).alias("_ref"))
-        lost = salted_lookup(refs, targets, ["_ref"], spread_by=["_key"], how="left_anti")
+        salts = 1 if parent in LARGE else 8
+        lost = salted_lookup(refs, targets, ["_ref"], spread_by=["_key"], salts=salts, how="left_anti")
         message = F.format_string(f"{child}.{column} %s is not in {parent}", F.col("_ref").cast("string"))
         parts.append(_violations(lost, "foreign_key", ["_key"], message))
     return _union(parts)

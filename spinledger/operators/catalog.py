@@ -229,7 +229,7 @@ def onboarding_conflicts(docs: DataFrame, tables: dict[str, DataFrame]) -> DataF
     claims = cut(unique_claims(docs))
     value = ["kind", "value"]
     inside = claims.where("n > 1").select("doc_id", *value, F.lit("inside").alias("conflict"))
-    existing = salted_lookup(claims, taken_values(tables), value, spread_by=["doc_id"], how="left_semi").select(
+    existing = salted_lookup(claims, taken_values(tables), value, spread_by=["doc_id"], salts=1, how="left_semi").select(
         "doc_id", *value, F.lit("existing").alias("conflict")
     )
     first_refusals = inside.unionByName(existing)

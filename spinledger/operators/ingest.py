@@ -35,7 +35,7 @@ def split_replays(manifests: DataFrame, receipts: DataFrame, detections: DataFra
     first = manifests.groupBy("edge_chunk_id").agg(F.min("arrival").alias("_first"))
     old = receipts.select("edge_chunk_id", "receipt_id", F.col("source_id").alias("_old_source"))
     known = first.join(old, "edge_chunk_id", "left")
-    met = salted_lookup(manifests, known, ["edge_chunk_id"], spread_by=["arrival"], how="inner")
+    met = salted_lookup(manifests, known, ["edge_chunk_id"], spread_by=["arrival"], salts=1, how="inner")
     is_first = F.col("arrival") == F.col("_first")
     fresh = met.where(F.col("receipt_id").isNull() & is_first).drop("_first", "receipt_id", "_old_source")
     counts = candidate_counts(detections).withColumnRenamed("capture_chunk_id", "receipt_id")
@@ -43,7 +43,7 @@ def split_replays(manifests: DataFrame, receipts: DataFrame, detections: DataFra
         "receipt_id", F.coalesce("receipt_id", stable_id("edge_chunk_id"))
     )
     replays = (
-        salted_lookup(again, counts, ["receipt_id"], spread_by=["arrival"])
+        salted_lookup(again, counts, ["receipt_id"], spread_by=["arrival"], salts=1)
         .select(
             "edge_chunk_id",
             "arrival",

@@ -62,7 +62,7 @@ def registry_reconcile(lookups: DataFrame, records: DataFrame) -> DataFrame:
     message = F.format_string(
         "No approved adapter is configured for %s; queue this lookup for registry reconciliation.", "provider"
     )
-    return salted_lookup(lookups, newest, key, spread_by=["lookup_id"]).select(
+    return salted_lookup(lookups, newest, key, spread_by=["lookup_id"], salts=1).select(
         *lookups.columns,
         F.coalesce("r.state", F.lit("unavailable")).alias("state"),
         F.col("r.external_record_id").alias("external_record_id"),
@@ -89,7 +89,7 @@ def payout_reconcile(payouts: DataFrame, events: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("first.state", F.lit("unknown")))
     )
     merged = first_of_key.join(answers, "idempotency_key", "left")
-    return salted_lookup(payouts, merged, ["idempotency_key"], spread_by=["payout_id"]).select(
+    return salted_lookup(payouts, merged, ["idempotency_key"], spread_by=["payout_id"], salts=1).select(
         "payout_id",
         "idempotency_key",
         "amount_ugx",
