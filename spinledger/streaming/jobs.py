@@ -1,11 +1,14 @@
 """Streams of manifests, match windows, device requests and review commands.
 
 ``foreachBatch`` jobs may be handed the same batch twice after a failure. Every sink
-here is keyed, or written to a folder named by the batch, so a repeat changes nothing.
+here writes to a folder named by the stream's checkpoint and the batch, so a repeat
+replaces its own output and a second stream never touches the first one's.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +29,20 @@ def _table(spark, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
+def _name(checkpoint: str) -> str:
+    return sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def _folder(path: str, checkpoint: str, number: int) -> str:
+    return f"{path}/run={_name(checkpoint)}/batch={number}"
+
+
+def _earlier(table: DataFrame, checkpoint: str, number: int) -> DataFrame:
+    """Rows of other streams and of this stream's earlier batches."""
+    mine = (F.col("run") == _name(checkpoint)) & (F.col("batch") >= number)
+    return table.where(~mine).drop("run", "batch")
+
+
 def _run(stream: DataFrame, handle, checkpoint: str, once: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -36,8 +53,8 @@ def route_manifests(stream: DataFrame, valid_path: str, rejected_path: str, chec
 
     def handle(batch: DataFrame, number: int) -> None:
         valid, rejected = validate_manifests(batch)
-        valid.write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+        valid.write.mode("overwrite").parquet(_folder(valid_path, checkpoint, number))
+        rejected.write.mode("overwrite").parquet(_folder(rejected_path, checkpoint, number))
 
     return _run(stream, handle, checkpoint, once)
 
@@ -62,24 +79,24 @@ def receive_once(
     receipt_schema = (
         "receipt_id string, edge_chunk_id string, source_id string, device_id string, started_at timestamp, "
         "ended_at timestamp, byte_count bigint, content_sha256 string, capture_policy string, "
-        "fingerprint_schema_id string, landmark_count int, schema_compatible boolean, status string, batch bigint"
+        "fingerprint_schema_id string, landmark_count int, schema_compatible boolean, status string, run string, batch bigint"
     )
     detection_schema = (
         "detection_id string, idempotency_key string, capture_chunk_id string, source_id string, recording_id string, "
         "started_at timestamp, ended_at timestamp, duration_seconds decimal(10,3), matcher_version string, "
         "fingerprint_schema_id string, matched_hash_count bigint, match_confidence decimal(6,5), "
-        "reference_per_query_tempo_scale decimal(7,5), offset_seconds double, status string, batch bigint"
+        "reference_per_query_tempo_scale decimal(7,5), offset_seconds double, status string, run string, batch bigint"
     )
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = _table(spark, f"{path}/receipts", receipt_schema).where(F.col("batch") < number).drop("batch")
-        known = _table(spark, f"{path}/detections", detection_schema).where(F.col("batch") < number).drop("batch")
+        old = _earlier(_table(spark, f"{path}/receipts", receipt_schema), checkpoint, number)
+        known = _earlier(_table(spark, f"{path}/detections", detection_schema), checkpoint, number)
         valid, _ = validate_manifests(batch)
         arrived = valid.withColumn("arrival", F.monotonically_increasing_id())
         result = ingest(arrived, old, known, sources, index, schema_id, cfg, matcher)
         for name in ("receipts", "detections", "replays", "unknown_sources", "audit"):
-            result[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            result[name].write.mode("overwrite").parquet(_folder(f"{path}/{name}", checkpoint, number))
 
     return _run(stream, handle, checkpoint, once)
 
@@ -100,7 +117,7 @@ def match_stream(
     def handle(batch: DataFrame, number: int) -> None:
         valid, _ = validate_manifests(batch)
         found = match(chunk_landmarks(valid, schema_id), index.where(F.col("schema_id") == schema_id), cfg, matcher)
-        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        found.write.mode("overwrite").parquet(_folder(path, checkpoint, number))
 
     return _run(stream, handle, checkpoint, once)
 
@@ -157,13 +174,13 @@ def apply_command_stream(
     """
     schema = (
         "detection_id string, seq bigint, accepted boolean, reason string, status_after string, "
-        "dispute_open_after boolean, batch bigint"
+        "dispute_open_after boolean, run string, batch bigint"
     )
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         named = batch.select("detection_id").distinct()
-        earlier = _table(spark, path, schema).where((F.col("batch") < number) & F.col("accepted"))
+        earlier = _earlier(_table(spark, path, schema), checkpoint, number).where("accepted")
         last = (
             earlier.join(named, "detection_id", "left_semi")
             .groupBy("detection_id")
@@ -174,7 +191,7 @@ def apply_command_stream(
         before = disputes.join(last.select("detection_id"), "detection_id", "left_anti").select("detection_id", "status")
         opened = last.where("s.dispute_open_after").select("detection_id", F.lit("open").alias("status"))
         outcomes = apply_commands(state.select("detection_id", "status"), before.unionByName(opened), batch)
-        outcomes.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        outcomes.write.mode("overwrite").parquet(_folder(path, checkpoint, number))
 
     return _run(stream, handle, checkpoint, once)
 

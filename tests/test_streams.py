@@ -57,7 +57,9 @@ def test_receipts_and_detections_once(spark, tmp_path):
         if attempt == "a":
             first = spark.read.parquet(f"{path}/detections").count()
     receipts = spark.read.parquet(f"{path}/receipts")
-    # The second query numbers its batches from 0 again and so replaces the first one's output.
+    # To the second stream every chunk is a replay of the first one's.
+    replays = spark.read.parquet(f"{path}/replays")
+    assert replays.count() == 6 and replays.agg(F.sum("candidate_count")).first()[0] == first
     assert receipts.count() == 6 and receipts.select("edge_chunk_id").distinct().count() == 6
     detections = spark.read.parquet(f"{path}/detections")
     assert detections.count() == first > 0 and detections.where(F.col("status") != "candidate").count() == 0
