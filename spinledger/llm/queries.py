@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spinledger.llm import bpe, packing, token_output
+from spinledger.llm import bpe, media, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.packed_matrix(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), 2048, 0)
 
 
+@query("op5_webp_media")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return media.media_digests(table(spark, folder, "documents"))
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
