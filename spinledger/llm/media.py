@@ -1,9 +1,10 @@
 """A media column of lossless WebP images that hold whole texts, read back and described.
 
 A text's UTF-8 bytes, filled up with zeros to a multiple of 64, become grey tiles of 64
-samples a row and at most 256 rows. Each tile is one WebP file with a palette of the bytes
-that occur, prefix codes, and back-references to lines that the tile has had before. The
-files of a text stand one behind the other; each begins with its own length.
+samples a row and at most 128 rows. Each tile is one WebP file with prefix codes and with
+back-references to lines that the tile has had before; where at most 16 bytes occur, a
+palette packs several samples into one. The files of a text stand one behind the other;
+each begins with its own length.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 
 from spinledger.llm import webp
 
-WIDTH, TILE = 64, 64 * 256
+WIDTH, TILE = 64, 64 * 128
 #: Lines of at least so many bytes are copied when they come again.
 LEAST_COPY = 16
 #: Bytes of payload that are encoded or decoded together.
-ENCODE_BYTES, DECODE_BYTES = 1_000_000, 6_000_000
+ENCODE_BYTES, DECODE_BYTES = 1_000_000, 16_000_000
 
 
 def payload_of(text: str | None) -> bytes:
@@ -55,42 +56,44 @@ def encode_tiles(tiles: list[bytes]) -> list[bytes]:
     for tile in tiles:
         pixels = np.frombuffer(tile, np.uint8)
         used = np.flatnonzero(np.bincount(pixels, minlength=256))
-        colors = (used.astype(np.uint32) << 8) | np.uint32(webp.OPAQUE_BLACK)
         fields = webp.Fields()
         webp.put_head(fields, WIDTH, len(tile) // WIDTH)
-        webp.put_palette(fields, colors)
-        index = np.zeros(256, dtype=np.int64)
-        index[used] = np.arange(len(used))
-        green = index[pixels]
-        copies = []
+        green, copies = pixels, []
         if webp.bundle_bits(len(used)):
+            colors = (used.astype(np.uint32) << 8) | np.uint32(webp.OPAQUE_BLACK)
+            webp.put_palette(fields, colors)
             image = (pixels.astype(np.uint32) << 8 | np.uint32(webp.OPAQUE_BLACK)).reshape(-1, WIDTH)
-            green = (webp.do_palette(image, colors) >> 8 & 255).ravel().astype(np.int64)
+            green = (webp.do_palette(image, colors) >> 8 & 255).ravel().astype(np.uint8)
         else:
             copies = _copies(tile)
-        literal = np.ones(len(green), dtype=bool)
-        ahead = []
+        literal, ahead = np.ones(len(green), dtype=bool), []
         for position, length, back in copies:
             literal[position : position + length] = False
             ahead.append((position, webp.prefix_of(length), webp.prefix_of(back + len(webp.NEAR))))
-        where = np.flatnonzero(literal)
-        counts = [np.bincount(green[where], minlength=280), np.zeros(40, dtype=np.int64)]
+        if ahead:
+            where, kept = np.flatnonzero(literal), green[literal]
+        else:
+            kept = green
+        counts = [np.bincount(kept, minlength=280), np.zeros(40, dtype=np.int64)]
         for _, length, back in ahead:
             counts[0][256 + length[0]] += 1
             counts[1][back[0]] += 1
         if np.count_nonzero(counts[0]) <= 2 and counts[0][256:].any():
             counts[0][:3] += 1
-        lengths = [webp.code_lengths(c) for c in counts]
+        lengths = [webp.code_lengths(c) for c in counts[: 1 + bool(ahead)]]
         codes = [webp.canonical_codes(x) for x in lengths]
         fields.put(0, 3)  # no more transforms, no colour cache, one group of codes
         webp.put_prefix_code(fields, lengths[0])
         for lone in (0, 0, 255):  # red, blue and alpha never change
-            webp.put_prefix_code(fields, np.bincount([lone], minlength=256))
-        webp.put_prefix_code(fields, lengths[1])
-        own = [lengths[k].copy() if np.count_nonzero(lengths[k]) > 1 else np.zeros_like(lengths[k]) for k in (0, 1)]
+            webp.put_simple_code(fields, [lone])
+        if ahead:
+            webp.put_prefix_code(fields, lengths[1])
+        else:
+            webp.put_simple_code(fields, [0])
+        own = [n if np.count_nonzero(n) > 1 else np.zeros_like(n) for n in lengths]
         first.append(at)
         head = [np.array(fields.values), np.array(fields.bits)]
-        body = [codes[0][green[where]], own[0][green[where]]]
+        body = [codes[0][kept], own[0][kept]]
         if ahead:
             place = np.searchsorted(where, [p for p, _, _ in ahead])
             extra = np.array(

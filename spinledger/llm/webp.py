@@ -146,6 +146,8 @@ def read_prefix_code(bits: BitReader, alphabet: int) -> PrefixCode:
         symbols = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= alphabet:
             raise WebpError("a symbol lies outside its alphabet")
+        if len(symbols) == 1:
+            return PrefixCode(np.array([symbols[0] << 4], dtype=np.int32), 0)
         lengths[symbols] = 1
         return PrefixCode.of(lengths)
     own = np.zeros(19, dtype=np.int64)
@@ -569,17 +571,21 @@ def file_of(data: bytes) -> bytes:
     return b"RIFF" + len(body).to_bytes(4, "little") + body
 
 
+def put_simple_code(fields: Fields, symbols: list[int]) -> None:
+    """One or two symbols below 256, ascending."""
+    wide = symbols[0] > 1
+    fields.put(1, 1)
+    fields.put(len(symbols) - 1, 1)
+    fields.put(wide, 1)
+    fields.put(symbols[0], 8 if wide else 1)
+    if len(symbols) == 2:
+        fields.put(symbols[1], 8)
+
+
 def put_prefix_code(fields: Fields, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
-        fields.put(1, 1)
-        fields.put(len(used) - 1, 1)
-        wide = used[0] > 1
-        fields.put(wide, 1)
-        fields.put(used[0], 8 if wide else 1)
-        if len(used) == 2:
-            fields.put(used[1], 8)
+        put_simple_code(fields, used or [0])
         return
     fields.put(0, 1)
     values = lengths[: used[-1] + 1].tolist()
