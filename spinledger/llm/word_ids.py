@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 
-#: Chunks and words remembered by one process; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Chunks remembered by one process, and words; beyond it the memory starts anew.
+REMEMBERED = 800_000
 
-_LETTERS = re.compile(rb"[a-z]+")
 _RUNS = re.compile(rb"[a-z]+|[^a-z]+")
 _TAIL = b".,!?;:%&$#*|"
 
@@ -30,6 +31,8 @@ class WordIds:
     """
 
     def __init__(self, path: str, end_id: int | None = None):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 32-bit numbers")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -46,25 +49,33 @@ class WordIds:
             return [chunk]
         lower = chunk.lower()
         if lower.isascii():
-            return _RUNS.findall(lower)
+            return [lower] if lower.isalpha() else _RUNS.findall(lower)
         stem = lower.rstrip(_TAIL)
         if stem and len(stem) < len(lower) and stem.decode()[-1].isalpha():
             return [stem, lower[len(stem) :]]
         return [lower]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        parts = {chunk: self._parts(chunk) for chunk in chunks}
-        words = {word for found in parts.values() for word in found if word not in self._words}
-        plain = [word for word in words if _LETTERS.fullmatch(word)]
-        other = [word for word in words if not _LETTERS.fullmatch(word)]
+        words, known, waiting, other = self._words, self._chunks, [], set()
         pieces = self._library.model.tokenize
-        for word in plain:  # one pre-token that the normalizer leaves as it is
-            self._words[word] = np.array([piece.id for piece in pieces(word.decode())], "<u4").tobytes()
-        found = self._library.encode_batch_fast([word.decode() for word in other], add_special_tokens=False)
-        for word, encoding in zip(other, found, strict=True):
-            self._words[word] = np.array(encoding.ids, "<u4").tobytes()
-        for chunk, found in parts.items():
-            self._chunks[chunk] = b"".join(map(self._words.__getitem__, found))
+        for chunk in chunks:
+            parts = self._parts(chunk)
+            for word in parts:
+                if word not in words:
+                    if word.isalpha():  # ASCII letters: one pre-token that the normalizer leaves as it is
+                        words[word] = array("I", [piece.id for piece in pieces(word.decode())]).tobytes()
+                    else:
+                        other.add(word)
+            if len(parts) == 1 and parts[0] in words:
+                known[chunk] = words[parts[0]]
+            else:
+                waiting.append((chunk, parts))
+        new = list(other)
+        found = self._library.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
+        for word, encoding in zip(new, found, strict=True):
+            words[word] = array("I", encoding.ids).tobytes()
+        for chunk, parts in waiting:
+            known[chunk] = b"".join([words[word] for word in parts])
 
     def encode_batch(self, texts: list[str | None], block: int = 500) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id behind each."""
