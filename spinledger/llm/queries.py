@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spinledger.llm import bpe, licenses, line_dedup, media, packing, token_output
+from spinledger.llm import ann, bpe, licenses, line_dedup, media, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_license_scan", licenses.oracle())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op4_prefix_forest")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
