@@ -35,7 +35,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder).getParent()
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

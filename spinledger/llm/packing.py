@@ -14,17 +14,22 @@ pieces of its length.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spinledger.llm.common import materialize, shuffle_partitions
+from spinledger.llm.common import materialize
 from spinledger.llm.word_ids import word_ids
 
+#: Most rows of the table of earlier tasks' counts that every executor gets whole; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
 
 class CapacityTree:
     """Segment tree over capacities 1..size: which of them have an open sequence."""
@@ -55,21 +60,20 @@ class CapacityTree:
         return None
 
 
-@dataclass
-class PackingPlan:
-    """Runs of equal pieces: pieces ``first_rank``.. of a length go, ``per`` at a time,
-    to the sequences ``first_sequence``.. from ``offset`` on."""
+class Run(NamedTuple):
+    """Equal pieces: those of ``length`` from rank ``first_rank`` to before ``end_rank`` go,
+    ``per`` at a time, to the sequences from ``first_sequence`` on, behind ``offset``."""
 
-    length: np.ndarray
-    first_rank: np.ndarray
-    first_sequence: np.ndarray
-    per: np.ndarray
-    offset: np.ndarray
-    sequences: int
+    length: int
+    first_rank: int
+    end_rank: int
+    first_sequence: int
+    per: int
+    offset: int
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> PackingPlan:
-    """Pack ``counts[length]`` pieces of each length, longest first."""
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
+    """Pack ``counts[length]`` pieces of each length, longest first; also the number of sequences."""
     if any(not 1 <= length <= capacity for length in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     tree, classes, runs, opened = CapacityTree(capacity), {}, [], 0
@@ -95,67 +99,43 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> PackingPlan:
             per = room // length
             used = min(n, -(-left // per))
             placed = min(left, used * per)
-            runs.append((length, rank, first, per, capacity - room))
+            runs.append(Run(length, rank, rank + placed, first, per, capacity - room))
             full, rest = divmod(placed, per)
             put(room - per * length, first, full)
             put(room - rest * length, first + full, 1 if rest else 0)
             put(room, first + used, n - used)
             left, rank = left - placed, rank + placed
-    columns = np.array(runs, dtype=np.int64).reshape(-1, 5).T
-    return PackingPlan(*columns, opened)
-
-
-def piece_ranks(pieces: DataFrame) -> DataFrame:
-    """Number the pieces of each length from 0, without one task for a length.
-
-    Pieces are dealt into buckets; a piece's rank is the number of pieces of its length
-    in earlier buckets plus its place within its own.
-    """
-    buckets = shuffle_partitions(pieces.sparkSession)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    before = (
-        dealt.groupBy("length", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n"))
-        .drop("n")
-    )
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    return (
-        dealt.withColumn("within", F.row_number().over(within) - 1)
-        .join(before, ["length", "bucket"])
-        .withColumn("rank", F.col("base") + F.col("within"))
-        .drop("bucket", "base", "within")
-    )
+    return runs, opened
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to materialized ``pieces``.
 
-    ``pieces`` has doc_id, piece, ids_crc32 and length. Equal rows are packed each for
-    itself; an empty table gives an empty result.
+    Each task that made pieces has numbered those of each length. A piece's rank is this
+    number behind the pieces of its length of earlier tasks, so nothing is sorted and no
+    task sees all pieces of a length. Equal rows are packed each for itself; an empty
+    table gives an empty result.
     """
-    rows = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for a length: at most ``capacity``
-    plan = best_fit_decreasing({row["length"]: row["n"] for row in rows}, capacity)
-    order = np.lexsort((plan.first_rank, plan.length))
-    span = 1 + max([row["n"] for row in rows], default=0)
-    table = tuple(x[order] for x in (plan.length, plan.first_rank, plan.first_sequence, plan.per, plan.offset))
-    shared = pieces.sparkSession.sparkContext.broadcast((table, span))
-    ranked = piece_ranks(pieces)
-    columns = [c for c in ranked.columns if c != "rank"]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (lengths, ranks, sequences, per, offsets), width = shared.value
-        keys = lengths.astype(object) * width + ranks if width > 2**50 else lengths * width + ranks
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            run = np.searchsorted(keys, length * width + rank, side="right") - 1
-            turn = rank - ranks[run]
-            yield batch[columns].assign(
-                sequence_id=sequences[run] + turn // per[run], offset=offsets[run] + turn % per[run] * length
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in columns)
-    return ranked.mapInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
+    spark = pieces.sparkSession
+    own = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = own.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).drop("n")
+    rows = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("task").alias("tasks")).collect()  # at most ``capacity``
+    runs, _ = best_fit_decreasing({row["length"]: row["n"] for row in rows}, capacity)
+    if sum(row["tasks"] for row in rows) <= BROADCAST_ROWS:
+        before = F.broadcast(before)
+    types = ", ".join(f"{name} bigint" for name in Run._fields)
+    plan = F.broadcast(spark.createDataFrame(runs, types).withColumnRenamed("length", "run_length"))  # grows with the capacity alone
+    rank = F.col("base") + F.col("within")
+    at = F.col("rank") - F.col("first_rank")
+    here = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
+    return (
+        pieces.join(before, ["length", "task"])
+        .withColumn("rank", rank)
+        .join(plan, here)
+        .withColumn("sequence_id", F.col("first_sequence") + F.expr("(rank - first_rank) div per"))
+        .withColumn("offset", F.col("offset") + at % F.col("per") * F.col("length"))
+        .select(*[c for c in pieces.columns if c not in ("task", "within")], "sequence_id", "offset")
+    )
 
 
 def token_pieces(
@@ -167,32 +147,27 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = word_ids(tokenizer, end_id)
+        encoder, task = word_ids(tokenizer, end_id), TaskContext.get().partitionId()
+        seen: Counter[int] = Counter()
         for batch in batches:
-            rows = []
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                for doc, ids in zip(part["doc_id"], encoder.encode_batch(part["text"].tolist()), strict=True):
+            docs, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for i in range(0, len(texts), 500):
+                rows = []
+                for doc, ids in zip(docs[i : i + 500], encoder.encode_batch(texts[i : i + 500]), strict=True):
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        row = (doc, piece, start // 4, len(own) // 4, zlib.crc32(own))
-                        rows.append((*row, np.frombuffer(own, "<u4").astype(id_type).tobytes()) if with_ids else row)
-                if with_ids and rows:
-                    yield _frame(rows, True)
-                    rows = []
-            if rows:
-                yield _frame(rows, with_ids)
-
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+                        part = ids[start : start + 4 * capacity]
+                        length = len(part) // 4
+                        row = (doc, piece, start // 4, length, zlib.crc32(part), task, seen[length])
+                        rows.append((*row, np.frombuffer(part, "<u4").astype(id_type).tobytes()) if with_ids else row)
+                        seen[length] += 1
+                frame = pd.DataFrame(rows, columns=names)
+                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, within bigint" + ", ids binary" * with_ids
+    names = [field.split()[0] for field in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
-def _frame(rows: list[tuple], with_ids: bool) -> pd.DataFrame:
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row for each piece of each document: where it lies in which sequence.
 

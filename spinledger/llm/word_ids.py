@@ -1,8 +1,8 @@
 """Token ids of whole texts from a tokenizers file whose pieces never cross white space.
 
-A text's ids are the ids of its space-separated chunks in order: such a vocabulary
-drops white space before it merges. Chunks repeat, so each process keeps the ids of
-those it has seen and asks the tokenizers library only for new ones.
+A text's ids are the ids of its parts in order, cut where no piece can reach over. Parts
+repeat, so each process keeps the ids of those it has seen and asks the tokenizers
+library only for new ones.
 """
 
 from __future__ import annotations
@@ -12,15 +12,13 @@ import re
 import sys
 from array import array
 from functools import lru_cache
-from itertools import repeat
 
-import numpy as np
-
-#: Chunks remembered by one process, and words; beyond it the memory starts anew.
+#: Parts remembered by one process; beyond it the memory starts anew.
 REMEMBERED = 800_000
 
-_RUNS = re.compile(rb"[a-z]+|[^a-z]+")
-_TAIL = b".,!?;:%&$#*|"
+_RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x09-\x0d\x20]+")
+#: Outside ASCII, what is not one of the Latin letters up to U+024F; a dotted capital I lowers to a letter and a mark.
+_NO_LETTER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 
 
 class WordIds:
@@ -40,56 +38,44 @@ class WordIds:
         self._library.no_truncation()
         self._library.no_padding()
         self._words: dict[bytes, bytes] = {}
-        self._chunks: dict[bytes, bytes] = {}
-        self._end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-
-    def _parts(self, chunk: bytes) -> list[bytes]:
-        """Cut a chunk where a piece certainly ends, so that parts repeat more often."""
-        if b"<|" in chunk or b"'" in chunk:  # special tokens and contractions need the whole chunk
-            return [chunk]
-        lower = chunk.lower()
-        if lower.isascii():
-            return [lower] if lower.isalpha() else _RUNS.findall(lower)
-        stem = lower.rstrip(_TAIL)
-        if stem and len(stem) < len(lower) and stem.decode()[-1].isalpha():
-            return [stem, lower[len(stem) :]]
-        return [lower]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        words, known, waiting, other = self._words, self._chunks, [], set()
-        pieces = self._library.model.tokenize
-        for chunk in chunks:
-            parts = self._parts(chunk)
-            for word in parts:
-                if word not in words:
-                    if word.isalpha():  # ASCII letters: one pre-token that the normalizer leaves as it is
-                        words[word] = array("I", [piece.id for piece in pieces(word.decode())]).tobytes()
-                    else:
-                        other.add(word)
-            if len(parts) == 1 and parts[0] in words:
-                known[chunk] = words[parts[0]]
+        self._end = b"" if end_id is None else array("I", [end_id]).tobytes()
+
+    def _parts(self, text: str) -> list[bytes]:
+        """Cut a text where a piece certainly ends, into parts that come again often.
+
+        White space ends a piece, and so does the border between a run of letters and
+        a run of ASCII signs. Special tokens, contractions and other signs than letters
+        outside ASCII may reach over such borders; these texts are cut at white space.
+        """
+        data = text.encode()
+        if b"'" in data or b"<|" in data or not text.isascii() and _NO_LETTER.search(text):
+            return data.split()
+        return _RUNS.findall(data.lower())
+
+    def _learn(self, parts: set[bytes]) -> None:
+        words, pieces, other = self._words, self._library.model.tokenize, []
+        for part in parts:
+            if part.isalpha() and part.islower():  # ASCII letters: one pre-token that the normalizer leaves as it is
+                words[part] = array("I", [piece.id for piece in pieces(part.decode())]).tobytes()
             else:
-                waiting.append((chunk, parts))
-        new = list(other)
-        found = self._library.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            words[word] = array("I", encoding.ids).tobytes()
-        for chunk, parts in waiting:
-            known[chunk] = b"".join([words[word] for word in parts])
+                other.append(part)
+        found = self._library.encode_batch_fast([part.decode() for part in other], add_special_tokens=False)
+        for part, encoding in zip(other, found, strict=True):
+            words[part] = array("I", encoding.ids).tobytes()
 
     def encode_batch(self, texts: list[str | None], block: int = 500) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id behind each."""
         out: list[bytes] = []
         for i in range(0, len(texts), block):
-            split = [text.encode().split() if text else [] for text in texts[i : i + block]]
-            if len(self._words) > REMEMBERED or len(self._chunks) > REMEMBERED:
-                self._words, self._chunks = {}, {}
+            rows = [self._parts(text) if text else [] for text in texts[i : i + block]]
+            if len(self._words) > REMEMBERED:
+                self._words = {}
             new: set[bytes] = set()
-            for chunks in split:
-                new.update(chunks)
-            self._learn(new.difference(self._chunks))
-            get = self._chunks.__getitem__
-            out += [b"".join(map(get, chunks)) + end for chunks, end in zip(split, repeat(self._end), strict=False)]
+            for parts in rows:
+                new.update(parts)
+            self._learn(new.difference(self._words))
+            get = self._words.__getitem__
+            out += [b"".join(map(get, parts)) + self._end for parts in rows]
         return out
 
 

@@ -77,15 +77,14 @@ def test_plan_is_best_fit_decreasing(seed):
     capacity = made.choice([7, 16, 50])
     lengths = [made.randint(1, capacity) for _ in range(made.randint(0, 300))]
     counts = {x: lengths.count(x) for x in set(lengths)}
-    plan = packing.best_fit_decreasing(counts, capacity)
-    used = [[] for _ in range(plan.sequences)]
-    for k in range(len(plan.length)):
-        length = int(plan.length[k])
-        later = [int(r) for x, r in zip(plan.length, plan.first_rank, strict=True) if x == length and r > plan.first_rank[k]]
-        for turn in range(min([*later, counts[length]]) - int(plan.first_rank[k])):
-            used[int(plan.first_sequence[k]) + turn // int(plan.per[k])].append(
-                (int(plan.offset[k]) + turn % int(plan.per[k]) * length, length)
-            )
+    runs, sequences = packing.best_fit_decreasing(counts, capacity)
+    used = [[] for _ in range(sequences)]
+    ranks = {x: [] for x in counts}
+    for run in runs:
+        for turn in range(run.end_rank - run.first_rank):
+            ranks[run.length].append(run.first_rank + turn)
+            used[run.first_sequence + turn // run.per].append((run.offset + turn % run.per * run.length, run.length))
+    assert all(sorted(ranks[x]) == list(range(n)) for x, n in counts.items())
     for pieces in used:
         end = 0
         for offset, length in sorted(pieces):
