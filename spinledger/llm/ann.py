@@ -110,7 +110,7 @@ def search(
     queries: DataFrame,
     k: int = 20,
     trees: int = 32,
-    share: float = 0.9,
+    share: float = 1.3,
     shard_rows: int = 8192,
     block_queries: int = 4096,
     seed: int = 7,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinledger.llm import ann, bpe, licenses, line_dedup, media, packing, token_output
+from spinledger.llm import ann, bpe, jaccard, licenses, line_dedup, media, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op8_ngram_jaccard", jaccard.ORACLE)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
