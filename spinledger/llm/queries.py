@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinledger.llm import ann, bpe, jaccard, licenses, line_dedup, media, packing, token_output
+from spinledger.llm import ann, bpe, jaccard, langid, licenses, line_dedup, media, packing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard", jaccard.ORACLE)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
