@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinledger.llm.common import materialize
@@ -202,21 +202,21 @@ def posterior(total: np.ndarray, n: int) -> np.ndarray:
     return weights / weights.sum()
 
 
-def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vocabulary: str) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each document, from its whole text alone.
+def language_column(spark: SparkSession, languages: list[str], probabilities: np.ndarray, vocabulary: str) -> Callable[[str], Column]:
+    """A function of the text column that gives struct (lang_pred, score).
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    Repeated rows give repeated rows; a null id is kept; ties go to the language that sorts
-    first; columns other than doc_id and text are not read.
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned;
+    ties go to the language that sorts first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(full_table(probabilities))
+    shared = spark.sparkContext.broadcast(full_table(probabilities))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, table = pieces_of(vocabulary), shared.value
         known: dict[str, int] = {}
         scores = np.zeros((0, len(languages)))
         for batch in batches:
-            out, texts = [], batch["text"].tolist()
+            out, texts = [], batch.tolist()
             for k in range(0, len(texts), 500):
                 rows = [cut_words(t) if languages else [] for t in texts[k : k + 500]]
                 if len(known) > _REMEMBERED:
@@ -231,16 +231,33 @@ def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vo
                     chances = posterior(scores[[known[w] for w in words]].sum(0), len(words))
                     best = int(chances.argmax())
                     out.append((languages[best], float(chances[best])))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"]).assign(doc_id=batch["doc_id"].array, held_out=batch["held_out"].array)
+            yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    schema = "doc_id bigint, held_out boolean, lang_pred string, score double"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInPandas(run, "lang_pred string, score double, doc_id bigint, held_out boolean").select(
-        *[field.split()[0] for field in schema.split(", ")]
-    )
+    return guess
+
+
+def predict(docs: DataFrame, languages: list[str], probabilities: np.ndarray, vocabulary: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of each document, from its whole text alone.
+
+    Repeated rows give repeated rows; a null id is kept; columns other than doc_id and text
+    are not read.
+    """
+    guess = language_column(docs.sparkSession, languages, probabilities, vocabulary)
+    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
+    return docs.select(doc_id, held_out().alias("held_out"), guess("text").alias("g")).select("doc_id", "held_out", "g.lang_pred", "g.score")
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Learn from ``docs`` and predict the language of each of them."""
     languages, probabilities = train(docs, vocabulary)
     return predict(docs, languages, probabilities, vocabulary)
+
+
+def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
+    """``docs`` without those whose language is undetermined or less certain than ``least``."""
+    guess = language_column(docs.sparkSession, *train(docs, vocabulary), vocabulary)
+    return (
+        docs.withColumn("__guess", guess("text"))
+        .filter((F.col("__guess.lang_pred") != UNDETERMINED) & (F.col("__guess.score") >= least))
+        .drop("__guess")
+    )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinledger.llm import ann, bpe, jaccard, langid, licenses, line_dedup, media, packing, token_output
+from spinledger.llm import ann, bpe, jaccard, langid, licenses, line_dedup, media, packing, quality, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op10_quality_cotraining")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
