@@ -224,8 +224,12 @@ def onboarding_conflicts(docs: DataFrame, tables: dict[str, DataFrame]) -> DataF
     ``earlier``: an accepted earlier document of the batch has it. A refused document
     releases its values, so acceptance is settled in rounds: each round accepts the
     documents that come first for all their undecided values and refuses those that
-    share a value with an accepted one. Only values claimed twice take part.
+    share a value with an accepted one. Only values claimed twice take part. Ids and
+    sequence numbers must be unique: two documents of one number would both come first.
     """
+    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"), F.countDistinct("doc_seq").alias("seqs")).first()
+    if seen["n"] != seen["ids"] or seen["n"] != seen["seqs"]:
+        raise ValueError("doc_id and doc_seq must be unique and not null within a batch")
     claims = cut(unique_claims(docs))
     value = ["kind", "value"]
     inside = claims.where("n > 1").select("doc_id", *value, F.lit("inside").alias("conflict"))
@@ -250,27 +254,36 @@ def onboarding_conflicts(docs: DataFrame, tables: dict[str, DataFrame]) -> DataF
         )
         clash = cut(clash)
         refused = refused.unionByName(clash)
-        undecided = cut(rest.join(clash.select("doc_id").distinct(), "doc_id", "left_anti"))
+        left = cut(rest.join(clash.select("doc_id").distinct(), "doc_id", "left_anti"))
+        if left.count() == undecided.count():  # the first document of all always leads, so a round decides something
+            raise RuntimeError("a round of acceptance decided no document")
+        undecided = left
     return refused
 
 
 def onboard(docs: DataFrame, tables: dict[str, DataFrame], stored: DataFrame) -> dict[str, DataFrame]:
     """Validate, replay, refuse and flatten a batch; each document is all or nothing.
 
-    ``stored`` maps the ``doc_id`` of earlier submissions to their ``catalog_id``.
-    Returns the new tables plus ``invalid``, ``replayed``, ``conflicts``, ``mapping``
+    ``stored`` maps the ``doc_id`` of earlier submissions to their ``catalog_id``. Of
+    several sound rows of one ``doc_id`` in the batch the first counts; the others are
+    replays of what it gave, and are refused with it. Returns the new tables plus ``invalid``, ``replayed``, ``conflicts``, ``mapping``
     and ``audit``. Publish the tables together: they belong to one batch.
     """
     checked = validate_onboarding(docs)
     invalid = checked.where(F.size("errors") > 0).select("doc_id", "errors")
     sound = checked.where(F.size("errors") == 0).drop("errors")
-    replayed = sound.select("doc_id").join(stored, "doc_id")
-    fresh = sound.join(stored.select("doc_id"), "doc_id", "left_anti")
+    new_rows = sound.join(stored.select("doc_id"), "doc_id", "left_anti")
+    first = new_rows.groupBy("doc_id").agg(F.min("doc_seq").alias("doc_seq"))
+    fresh = new_rows.join(first, ["doc_id", "doc_seq"])
     conflicts = onboarding_conflicts(fresh, tables)
     # Thirteen tables are written from these rows: settle them once.
     accepted = cut(fresh.join(conflicts.select("doc_id").distinct(), "doc_id", "left_anti"))
     new = flatten_onboarding(accepted)
     mapping = id_mapping(accepted)
+    again = new_rows.select("doc_id", "doc_seq").join(first, ["doc_id", "doc_seq"], "left_anti").select("doc_id")
+    replayed = sound.select("doc_id").join(stored, "doc_id").unionByName(
+        again.join(accepted.select("doc_id", _catalog().alias("catalog_id")), "doc_id")
+    )
     audit = accepted.select(
         F.lit("catalog.onboarded").alias("action"),
         F.lit("catalog").alias("entity_type"),

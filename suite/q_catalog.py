@@ -326,6 +326,22 @@ def _(t: Tables) -> DataFrame:
     return counts
 
 
+@query(
+    "onboarding_replays",
+    f"""select 'doc-' || d as doc_id, count(*) as n from {ACCEPTED}, (select unnest([1, 2]) as k) where d % 4 = 0 group by 1
+      union all select 'doc-' || d, 1 from {DOCS} where d % 10 not in (3, 5, 7) and d % 4 = 1 and d % 7 = 0""",
+)
+def _(t: Tables) -> DataFrame:
+    """Every fourth document three times in the batch; some were stored before."""
+    docs, doc = documents(t), F.col("doc_seq")
+    repeated = docs.withColumn("copy", F.explode(F.when(doc % 4 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0)))))
+    repeated = repeated.withColumn("doc_seq", doc + F.col("copy") * 10_000_000).drop("copy")
+    stored = docs.where((doc % 4 == 1) & (doc % 7 == 0)).select("doc_id", F.concat(F.lit("old-"), "doc_id").alias("catalog_id"))
+    # what is stored holds no values here, so nothing that is accepted anew depends on it
+    kept = catalog.onboard(repeated.where((doc % 4 == 0) | (F.col("doc_id").isNotNull())), existing(t), stored)
+    return kept["replayed"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def versions(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An active first and a draft second master sheet per recording, with commands on both."""
     rec_id = F.col("recording_id")
