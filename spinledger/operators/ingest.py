@@ -26,35 +26,55 @@ def candidate_counts(detections: DataFrame) -> DataFrame:
     return detections.groupBy("capture_chunk_id").agg(F.count(F.lit(1)).alias("candidate_count"))
 
 
-def split_replays(manifests: DataFrame, receipts: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first arrivals, replays with the old receipt and its candidate count).
-
-    Replays are found before sources are resolved, so a replay never fails on an
-    unknown source. Within a batch the first row of a chunk id (by ``arrival``) wins.
+def split_replays(
+    manifests: DataFrame, receipts: DataFrame, sources: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first accepted rows with their ``source_id``, rows of unknown sources, later rows).
+
+    A chunk id with a receipt is a replay whatever its source. Of the other rows only
+    those of known sources count: the first of them (by ``arrival``) is accepted and the
+    later rows of its id are replays of it, so a delivery that failed on its source does
+    not stand in the way of the next one. Later rows carry ``receipt_id`` and, where the
+    receipt is older than the batch, ``_old_source``.
     """
-    first = manifests.groupBy("edge_chunk_id").agg(F.min("arrival").alias("_first"))
     old = receipts.select("edge_chunk_id", "receipt_id", F.col("source_id").alias("_old_source"))
-    known = first.join(old, "edge_chunk_id", "left")
-    met = salted_lookup(manifests, known, ["edge_chunk_id"], spread_by=["arrival"], salts=1, how="inner")
+    met = salted_lookup(manifests, old, ["edge_chunk_id"], spread_by=["arrival"], salts=1)
+    before = met.where(F.col("receipt_id").isNotNull())
+    found, lost = resolve_source(met.where(F.col("receipt_id").isNull()).drop("receipt_id", "_old_source"), sources)
+    first = found.groupBy("edge_chunk_id").agg(F.min("arrival").alias("_first"))
+    placed = salted_lookup(found, first, ["edge_chunk_id"], spread_by=["arrival"], salts=1, how="inner")
     is_first = F.col("arrival") == F.col("_first")
-    fresh = met.where(F.col("receipt_id").isNull() & is_first).drop("_first", "receipt_id", "_old_source")
-    counts = candidate_counts(detections).withColumnRenamed("capture_chunk_id", "receipt_id")
-    again = met.where(F.col("receipt_id").isNotNull() | ~is_first).withColumn(
-        "receipt_id", F.coalesce("receipt_id", stable_id("edge_chunk_id"))
+    accepted = placed.where(is_first).drop("_first")
+    # a row of an unknown source behind the accepted one is a replay, as it would be in the next batch
+    behind = salted_lookup(lost, first, ["edge_chunk_id"], spread_by=["arrival"], salts=1)
+    unknown = behind.where(F.col("_first").isNull() | (F.col("arrival") < F.col("_first"))).drop("_first")
+    late = behind.where(F.col("arrival") > F.col("_first")).drop("_first", "reason")
+    again = before.unionByName(
+        placed.where(~is_first).drop("_first", "source_id").unionByName(late), allowMissingColumns=True
+    )
+    return accepted, unknown, again
+
+
+def replays_of(again: DataFrame, received: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
+    """Replays with the stored source and candidate count, of earlier batches or of this one."""
+    new = received.select("edge_chunk_id", F.col("receipt_id").alias("_new_receipt"), F.col("source_id").alias("_new_source"))
+    counts = candidate_counts(known.select("capture_chunk_id").unionByName(found.select("capture_chunk_id"))).withColumnRenamed(
+        "capture_chunk_id", "receipt_id"
     )
-    replays = (
-        salted_lookup(again, counts, ["receipt_id"], spread_by=["arrival"], salts=1)
+    met = salted_lookup(again, new, ["edge_chunk_id"], spread_by=["arrival"], salts=1)
+    named = met.withColumn("receipt_id", F.coalesce("receipt_id", "_new_receipt"))
+    return (
+        salted_lookup(named, counts, ["receipt_id"], spread_by=["arrival"], salts=1)
         .select(
             "edge_chunk_id",
             "arrival",
             "receipt_id",
-            F.col("_old_source").alias("source_id"),
+            F.coalesce("_old_source", "_new_source").alias("source_id"),
             F.size("landmarks").alias("landmark_count"),
             F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
         )
         .withColumn("replayed", F.lit(True))
     )
-    return fresh, replays
 
 
 def receipts_of(chunks: DataFrame, schema_id: str) -> DataFrame:
@@ -146,8 +166,7 @@ def ingest(
     ``manifests`` carry an ``arrival`` number. A chunk of another schema is received but
     not matched.
     """
-    fresh, replays = split_replays(manifests, receipts, detections)
-    accepted, unknown = resolve_source(fresh, sources)
+    accepted, unknown, again = split_replays(manifests, receipts, sources)
     received = receipts_of(accepted, schema_id)
     if index is None:
         found = detections.limit(0)
@@ -156,7 +175,7 @@ def ingest(
         found = detections_of(ranked, received)
     return {
         "receipts": received,
-        "replays": replays,
+        "replays": replays_of(again, received, detections, found),
         "unknown_sources": unknown,
         "detections": found,
         "audit": ingest_audit(received, accepted, found),

@@ -128,25 +128,54 @@ def _(t: Tables) -> DataFrame:
     return ingested(t)["receipts"].select("byte_count", "source_id", F.col("schema_compatible").cast("int").alias("schema_compatible"))
 
 
+ARRIVED = f"""(select event_id, user_id % 30 as s, unnest(case when event_id % 10 = 0 then [0, 1] else [0] end) as copy from events where {FAULT} > 12)"""
+
+
 @query(
     "ingest_replays",
-    f"""select case when event_id % 7 = 0 then 'old-' || event_id else 'new' end as receipt, case when event_id % 7 = 0 then 2 else 0 end as candidate_count, count(*) as n
-      from (select unnest(case when event_id % 10 = 0 then [0, 1] else [0] end) as copy, event_id from events where {FAULT} > 12) where event_id % 7 = 0 or copy = 1 group by 1, 2""",
+    f"""select case when event_id % 7 = 0 then 'old-' || event_id else 'new' end as receipt, case when event_id % 7 = 0 then '1' else cast(s as varchar) end as source_id,
+      case when event_id % 7 = 0 then 2 else 0 end as candidate_count, count(*) as n from {ARRIVED} where event_id % 7 = 0 or copy = 1 and s < 25 group by 1, 2, 3""",
 )
 def _(t: Tables) -> DataFrame:
     replays = ingested(t)["replays"]
     receipt = F.when(F.col("receipt_id").startswith("old"), F.col("receipt_id")).otherwise("new")
-    return replays.groupBy(receipt.alias("receipt"), F.col("candidate_count").cast("int").alias("candidate_count")).agg(F.count(F.lit(1)).alias("n"))
+    return replays.groupBy(receipt.alias("receipt"), "source_id", F.col("candidate_count").cast("int").alias("candidate_count")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "ingest_unknown_sources",
-    f"select 'source_code ''NATION_' || (user_id % 30) || ''' is not provisioned' as reason, count(*) as n from events where {FAULT} > 12 and event_id % 7 <> 0 and user_id % 30 >= 25 group by 1",
+    f"""select 'source_code ''NATION_' || s || ''' is not provisioned' as reason, count(*) as n from {ARRIVED} where event_id % 7 <> 0 and s >= 25 group by 1""",
 )
 def _(t: Tables) -> DataFrame:
     return ingested(t)["unknown_sources"].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "ingest_second_delivery",
+    f"""select event_id * 3 as byte_count, cast(event_id % 25 as varchar) as source_id, 'received' as state from events where {FAULT} > 12 and user_id % 30 >= 25
+      union all select event_id * 3, cast(user_id % 30 as varchar), 'received' from events where {FAULT} > 12 and user_id % 30 < 25
+      union all select event_id * 3, cast(user_id % 30 as varchar), 'replayed' from events where {FAULT} > 12 and user_id % 30 < 25
+      union all select event_id * 3, null, 'refused' from events where {FAULT} > 12 and user_id % 30 >= 25""",
+)
+def _(t: Tables) -> DataFrame:
+    """Each chunk twice, the second time from a source that is always known."""
+    valid, _rejected = validation.validate_manifests(t.manifests)
+    number = F.expr("byte_count div 3")
+    first = valid.withColumn("arrival", number * 2)
+    second = valid.withColumn("source_code", F.concat(F.lit("NATION_"), (number % 25).cast("string"))).withColumn("arrival", number * 2 + 1)
+    none = t.spark.createDataFrame([], "edge_chunk_id string, receipt_id string, source_id string")
+    found = t.spark.createDataFrame([], "capture_chunk_id string")
+    sources = t.sources.withColumn("source_id", F.col("source_id").cast("string"))
+    out = ingest.ingest(first.unionByName(second), none, found, sources, None, TEXT_SCHEMA)
+    size = valid.select("edge_chunk_id", "byte_count")
+    state = lambda rows, word: rows.select("byte_count", F.col("source_id").cast("string").alias("source_id"), F.lit(word).alias("state"))
+    return (
+        state(out["receipts"], "received")
+        .unionByName(state(out["replays"].join(size, "edge_chunk_id"), "replayed"))
+        .unionByName(state(out["unknown_sources"].withColumn("source_id", F.lit(None)), "refused"))
+    )
+
+
 # Onboarding: twenty parts make a document -------------------------------------------
 
 
