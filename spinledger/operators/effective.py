@@ -7,9 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spinledger.functions.skew import salted_lookup
+from spinledger.functions.skew import salt_of
 from spinledger.functions.slices import scan_slices, slice_of
 
+#: Tasks among which the facts of one key and month are dealt.
+LOOKUP_SALTS = 8
+
+
+def disjoint_versions(
+    versions: DataFrame, on: Sequence[str], payload: Sequence[str], prefer: Sequence[Column] = ()
+) -> DataFrame:
+    """The version in force for each stretch of days of a key: ``on``, ``_begin``, ``_end`` (null: open), ``_v``.
+
+    Stretches of a key do not overlap. Where several versions are in force ``prefer``
+    decides, then the latest ``valid_from``. The versions of one key are few.
+    """
+    end = F.date_add("valid_to", 1)
+    points = versions.select(*on, F.explode(F.array("valid_from", end)).alias("_begin")).where("_begin is not null").distinct()
+    stretches = points.withColumn("_end", F.lead("_begin").over(Window.partitionBy(*on).orderBy("_begin")))
+    rank = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)], F.col("valid_from"))
+    ranked = versions.select(*on, "valid_from", "valid_to", F.struct(rank.alias("rank"), F.struct(*payload).alias("v")).alias("_ranked"))
+    covering = stretches.join(ranked, list(on)).where(
+        (F.col("valid_from") <= F.col("_begin")) & (F.col("valid_to").isNull() | (F.col("_begin") <= F.col("valid_to")))
+    )
+    return covering.groupBy(*on, "_begin", "_end").agg(F.max("_ranked")["v"].alias("_v"))
+
 
 def effective_at(
     facts: DataFrame,
@@ -22,39 +44,38 @@ def effective_at(
     prefer: Sequence[Column] = (),
     until: object = None,
 ) -> DataFrame:
-    """Left as-of join: each fact with the version valid on its day.
+    """Left as-of join: each fact, equal ones included, with the version valid on its day.
 
-    Versions are listed once per calendar month they touch, so the join is an
+    Versions are made disjoint first, so a fact meets at most one and is not grouped
+    again. They are listed once per calendar month they touch, so the join is an
     equi-join on the keys and the month with the exact dates as a residual test.
     Open intervals end at ``until``, a date no fact lies after; without it the last
-    fact is looked up first. Of several versions in force, ``prefer``
-    decides, then the latest ``valid_from``.
+    fact is looked up first. The facts of a key are dealt to several tasks by ``fact_key``.
     """
     month = lambda d: (F.year(d) * 12 + F.month(d)).cast("int")
     horizon = facts.agg(F.max(at)).scalar() if until is None else F.lit(until).cast("date")
-    last = F.least(F.coalesce("valid_to", horizon), horizon)
+    last = F.least(F.coalesce(F.date_sub("_end", 1), horizon), horizon)
     listed = (
-        versions.withColumn("_from", month(F.col("valid_from")))
+        disjoint_versions(versions, on, payload, prefer)
+        .withColumn("_from", month(F.col("_begin")))
         .withColumn("_to", month(last))
         .where(F.col("_from") <= F.col("_to"))
-        .withColumn("_month", F.explode(F.sequence("_from", "_to")))
-    )
-    rank = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)], F.col("valid_from"))
-    listed = listed.select(
-        *on,
-        "_month",
-        F.col("valid_from").alias("_valid_from"),
-        F.col("valid_to").alias("_valid_to"),
-        F.struct(rank.alias("rank"), F.struct(*payload).alias("v")).alias("_version"),
-    )
-    dated = facts.withColumn("_month", month(F.col(at)))
-    met = salted_lookup(dated, listed, [*on, "_month"], spread_by=fact_key)
-    in_force = (F.col(at) >= F.col("_valid_from")) & (
-        F.col("_valid_to").isNull() | (F.col(at) <= F.col("_valid_to"))
+        .select(
+            *[F.col(c).alias(f"_on_{c}") for c in on],
+            F.explode(F.sequence("_from", "_to")).alias("_on_month"),
+            "_begin",
+            "_end",
+            "_v",
+        )
     )
-    version = F.when(in_force, F.col("_version"))
-    picked = met.groupBy(*facts.columns).agg(F.max(version).alias("_version"))
-    return picked.select(*facts.columns, *[F.col(f"_version.v.{c}").alias(c) for c in payload])
+    listed = listed.withColumn("_on_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
+    dated = facts.withColumn("_month", month(F.col(at))).withColumn("_salt", salt_of(fact_key, LOOKUP_SALTS))
+    same = (F.col("_month") == F.col("_on_month")) & (F.col("_salt") == F.col("_on_salt"))
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_on_{c}"))
+    in_force = (F.col(at) >= F.col("_begin")) & (F.col("_end").isNull() | (F.col(at) < F.col("_end")))
+    met = dated.join(listed, same & in_force, "left")
+    return met.select(*facts.columns, *[F.col(f"_v.{c}").alias(c) for c in payload])
 
 
 def effective_weight(usage: DataFrame, weights: DataFrame, until: object = None) -> DataFrame:
@@ -65,28 +86,14 @@ def effective_weight(usage: DataFrame, weights: DataFrame, until: object = None)
 
 def effective_tariff(usage: DataFrame, tariffs: DataFrame, until: object = None) -> DataFrame:
     """A tariff for the source type beats one for any source type, then the later one."""
-    # Usage asks for its own type and for "any"; a NULL key would not join.
-    asked = usage.withColumn("_type", F.explode(F.array(F.col("source_type"), F.lit("*"))))
-    offered = tariffs.withColumn("_type", F.coalesce("source_type", F.lit("*"))).drop("source_type")
-    each = effective_at(
-        asked,
-        offered,
-        ["catalog_id", "right_type", "_type"],
-        fact_key=["usage_id", "right_type"],
-        at="used_on",
-        payload=["tariff_id", "base_rate_ugx", "valid_from"],
-        until=until,
-    )
-    specific = F.col("_type") != "*"
-    choice = F.when(
-        F.col("tariff_id").isNotNull(),
-        F.struct(specific.cast("int").alias("s"), "valid_from", "tariff_id", "base_rate_ugx"),
-    )
-    return (
-        each.groupBy(*usage.columns)
-        .agg(F.max(choice).alias("_t"))
-        .select(*usage.columns, F.col("_t.tariff_id").alias("tariff_id"), F.col("_t.base_rate_ugx").alias("base_rate_ugx"))
-    )
+    how = {"fact_key": ["usage_id", "right_type"], "at": "used_on", "until": until}
+    columns = ["tariff_id", "base_rate_ugx"]
+    key = ["catalog_id", "right_type"]
+    own = effective_at(usage, tariffs.where("source_type is not null"), [*key, "source_type"], payload=columns, **how)
+    named = own.withColumnsRenamed({c: f"_own_{c}" for c in columns})
+    general = effective_at(named, tariffs.where("source_type is null"), key, payload=columns, **how)
+    mine = F.col("_own_tariff_id").isNotNull()
+    return general.select(*usage.columns, *[F.when(mine, F.col(f"_own_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
 def active_split(

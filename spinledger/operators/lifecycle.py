@@ -244,7 +244,7 @@ def review_queue(
         if wanted is not None:
             rows = rows.where(F.col(name) == F.lit(wanted))
     total = rows.agg(F.count(F.lit(1))).scalar()
-    page = rows.orderBy(F.desc("started_at"), F.asc("detection_id")).offset(offset).limit(min(limit, 200))
+    page = rows.orderBy(F.desc("started_at"), F.asc("detection_id")).offset(offset).limit(limit)
     return page.withColumn("total", total)
 
 
@@ -252,7 +252,7 @@ def list_disputes(disputes: DataFrame, *, status: str | None = None, limit: int
     if limit < 1:
         raise ValueError("limit must be positive")
     rows = disputes if status is None else disputes.where(F.col("status") == status)
-    return rows.orderBy(F.desc("created_at"), F.asc("dispute_id")).limit(min(limit, 200))
+    return rows.orderBy(F.desc("created_at"), F.asc("dispute_id")).limit(limit)
 
 
 def command_audit(outcomes: DataFrame, commands: DataFrame) -> DataFrame:

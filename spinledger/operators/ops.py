@@ -11,7 +11,7 @@ from spinledger.operators.catalog import split_totals
 from spinledger.schemas import BASIS_POINTS
 
 # The retry clock.
-FIRST_DELAY_SECONDS, LONGEST_DELAY_SECONDS, LONGEST_ERROR = 30, 21_600, 1_000
+FIRST_DELAY_SECONDS, LONGEST_DELAY_SECONDS = 30, 21_600
 
 
 def outbox_backlog(outbox: DataFrame, now: Column) -> DataFrame:
@@ -29,18 +29,18 @@ def outbox_backlog(outbox: DataFrame, now: Column) -> DataFrame:
 def retry_schedule(outbox: DataFrame, now: Column) -> DataFrame:
     """Failed uploads with their next attempt: 30 s doubling per attempt, at most 6 h.
 
-    ``retry_after_seconds``, where given, replaces the delay.
+    ``retry_after_seconds``, where given, replaces the delay; zero asks for the usual one.
+    Error texts are kept whole.
     """
     doublings = F.least(F.greatest(F.col("attempts") - 1, F.lit(0)), F.lit(30))
     delay = F.least(F.lit(LONGEST_DELAY_SECONDS), F.lit(FIRST_DELAY_SECONDS) * F.pow(F.lit(2.0), doublings))
-    seconds = F.coalesce(F.col("retry_after_seconds").cast("double"), delay.cast("double"))
+    seconds = F.coalesce(F.nullif(F.col("retry_after_seconds").cast("double"), F.lit(0.0)), delay.cast("double"))
     failed = outbox.where(F.col("status") == "uploading")
     return failed.withColumns(
         {
             "status": F.lit("retry"),
             "delay_seconds": seconds,
             "next_attempt_at": F.timestamp_micros(F.unix_micros(now) + (seconds * 1e6).cast("bigint")),
-            "last_error": F.left("last_error", F.lit(LONGEST_ERROR)),
         }
     )
 

@@ -178,8 +178,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "retry_schedule",
-    """select chunk_id, coalesce(retry_after_seconds, least(21600.0, 30.0 * pow(2, greatest(attempts - 1, 0)))) as delay_seconds, least(error_length, 1000) as error_length,
-     epoch_us(timestamp '2024-01-20 00:00:00') + cast(coalesce(retry_after_seconds, least(21600.0, 30.0 * pow(2, greatest(attempts - 1, 0)))) * 1000000 as bigint) as next_us from outbox where status = 'uploading'""",
+    """select chunk_id, coalesce(nullif(retry_after_seconds, 0), least(21600.0, 30.0 * pow(2, greatest(attempts - 1, 0)))) as delay_seconds, error_length,
+     epoch_us(timestamp '2024-01-20 00:00:00') + cast(coalesce(nullif(retry_after_seconds, 0), least(21600.0, 30.0 * pow(2, greatest(attempts - 1, 0)))) * 1000000 as bigint) as next_us from outbox where status = 'uploading'""",
 )
 def _(t: Tables) -> DataFrame:
     return ops.retry_schedule(t.outbox, F.lit(NOW).cast("timestamp")).select(

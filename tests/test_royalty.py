@@ -113,3 +113,14 @@ def test_validity_is_inclusive_and_later_wins(spark):
     assert got == {1: 1.0, 2: 2.0, 3: 2.0, 4: None, 5: 3.0, 6: None}
     plan = effective.effective_weight(facts, versions)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_equal_facts_stay_apart(spark):
+    facts = spark.createDataFrame([("u", "s", "2026-02-01")] * 2 + [("v", "s", "2027-01-01")], "usage_id string, source_id string, used_on string")
+    versions = spark.createDataFrame(
+        [("w1", "s", "2026-01-01", None, 1), ("w2", "s", "2026-01-15", "2026-03-01", 2)],
+        "weight_id string, source_id string, valid_from string, valid_to string, weight int",
+    )
+    dated = versions.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")})
+    found = effective.effective_weight(facts.withColumn("used_on", F.col("used_on").cast("date")), dated).collect()
+    assert sorted((r.usage_id, r.weight) for r in found) == [("u", 2), ("u", 2), ("v", 1)]
