@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spinledger.operators.audits import AUDITS, audit_foreign_keys, audit_row_checks, audit_unique_keys, row_checks
 
@@ -26,8 +29,13 @@ NEEDS = {
 }
 
 
+def skipped_rules(tables: dict[str, DataFrame]) -> list[str]:
+    """Cross-table rules that concern a given table but miss another one they read."""
+    return [rule for rule, needs in NEEDS.items() if any(n in tables for n in needs) and not all(n in tables for n in needs)]
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """All violations the given tables allow to be checked."""
+    """All violations the given tables allow to be checked; see ``skipped_rules`` for the others."""
     parts = [AUDITS[rule](tables) for rule, needs in NEEDS.items() if all(n in tables for n in needs)]
     parts += [part for part in (audit_unique_keys(tables), audit_foreign_keys(tables)) if part is not None]
     parts += [audit_row_checks(name, tables[name], tables[name].columns[:1]) for name in row_checks() if name in tables]
@@ -37,25 +45,39 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame | None:
     return merged
 
 
-def publish(tables: dict[str, DataFrame], path: str, batch: str) -> DataFrame | None:
+POINTER = "number bigint, batch string"
+
+
+def publish(tables: dict[str, DataFrame], path: str, batch: str, waived: Collection[str] = ()) -> DataFrame | None:
     """Stage the tables, audit what was staged, and name the batch current if it is clean.
 
-    Readers follow ``{path}/current``, which is written last, so they never see half a
-    batch. Returns the violations, or None when the batch was published.
+    A batch that a rule concerns but whose tables do not let it be checked is refused
+    unless the rule is waived by name, and so is a batch name that exists. Readers follow
+    the highest number under ``{path}/current``; a pointer is added last and none is ever
+    overwritten, so they see the old batch or the new one. Returns the violations, or
+    None when the batch was published.
     """
+    unchecked = sorted(set(skipped_rules(tables)) - set(waived))
+    if unchecked:
+        raise ValueError(f"rules that cannot be checked on these tables: {', '.join(unchecked)}")
     spark = next(iter(tables.values())).sparkSession
     staged = {}
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{batch}/{name}")
+        table.write.mode("errorifexists").parquet(f"{path}/{batch}/{name}")
         staged[name] = spark.read.parquet(f"{path}/{batch}/{name}")
     found = violations(staged)
     if found is not None and not found.isEmpty():
         return found
-    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    pointers = f"{path}/current"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(pointers)
+    number = 0
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        number = spark.read.schema(POINTER).json(pointers).agg(F.max("number")).first()[0] or 0
+    spark.createDataFrame([(number + 1, batch)], POINTER).coalesce(1).write.mode("append").json(pointers)
     return None
 
 
 def current(spark, path: str, name: str) -> DataFrame:
     """Table ``name`` of the published batch."""
-    batch = spark.read.schema("batch string").json(f"{path}/current").first()["batch"]
+    batch = spark.read.schema(POINTER).json(f"{path}/current").orderBy(F.desc("number")).first()["batch"]
     return spark.read.parquet(f"{path}/{batch}/{name}")

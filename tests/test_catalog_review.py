@@ -246,11 +246,19 @@ def test_publish_only_clean_batches(spark, tmp_path):
         "select 's' split_sheet_id, 'c' catalog_id, 'r' recording_id, cast(null as string) work_id, 'master' right_type, 1 version, 'active' status, "
         "date'2024-01-01' valid_from, cast(null as date) valid_to, current_timestamp() approved_at"
     )
-    assert publish({"split_sheets": sheets, "split_lines": lines}, str(tmp_path), "b1") is None
+    waived = ("sheet_catalog", "usage_links", "allocation_snapshot")
+    with pytest.raises(ValueError, match="sheet_catalog"):
+        publish({"split_sheets": sheets, "split_lines": lines}, str(tmp_path), "b1", waived[1:])
+    assert publish({"split_sheets": sheets, "split_lines": lines}, str(tmp_path), "b1", waived) is None
+    with pytest.raises(Exception, match="(?i)exist"):
+        publish({"split_sheets": sheets, "split_lines": lines}, str(tmp_path), "b1", waived)
     assert current(spark, str(tmp_path), "split_lines").count() == 1
-    found = publish({"split_sheets": sheets, "split_lines": lines.withColumn("share_basis_points", F.lit(9999))}, str(tmp_path), "b2")
+    found = publish({"split_sheets": sheets, "split_lines": lines.withColumn("share_basis_points", F.lit(9999))}, str(tmp_path), "b2", waived)
     assert [r.rule for r in found.collect()] == ["split_total"]
     assert current(spark, str(tmp_path), "split_lines").first().share_basis_points == 10000
+    more = lines.unionByName(lines.withColumns({"split_line_id": F.lit("l2"), "party_id": F.lit("q")})).withColumn("share_basis_points", F.lit(5000))
+    assert publish({"split_sheets": sheets, "split_lines": more}, str(tmp_path), "b3", waived) is None
+    assert current(spark, str(tmp_path), "split_lines").count() == 2
 
 
 def test_append_detections_once(spark, tmp_path):
