@@ -99,7 +99,7 @@ def local_date(at: str | Column) -> Column:
 
 
 def has_offset(text: Column) -> Column:
-    return text.rlike(r"([zZ]|[+-][0-9]{2}:?[0-9]{2})$")
+    return text.rlike(r"([zZ]|[+-][0-9]{2}:?[0-9]{2}|:[0-9.]+[+-][0-9]{2})$")
 
 
 def parse_timestamp(value: str | Column, *, naive: str = "utc") -> Column:

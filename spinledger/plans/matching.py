@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig, MatcherConfig
@@ -19,9 +19,14 @@ def match_chunks(
     matcher: MatcherConfig = MatcherConfig(),
     **options: object,
 ) -> DataFrame:
-    """Candidates for every valid manifest of the schema; the others give no rows."""
+    """Candidates for every valid manifest of the schema; the others give no rows.
+
+    Of several rows of one chunk id the earliest counts, then the smallest digest.
+    """
     valid, _ = validate_manifests(manifests)
-    queries = chunk_landmarks(valid.dropDuplicates(["edge_chunk_id"]), schema_id)
+    of_chunk = Window.partitionBy("edge_chunk_id").orderBy("started_at", "content_sha256", F.size("landmarks"))
+    once = valid.withColumn("_n", F.row_number().over(of_chunk)).where("_n = 1").drop("_n")
+    queries = chunk_landmarks(once, schema_id)
     return match(queries, index.where(F.col("schema_id") == schema_id), cfg, matcher, **options)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinledger.functions.columns import stable_id
@@ -40,9 +40,11 @@ def shadow_report(
     chunk ids are reported as often as they occur. Logs of unlisted sources are ignored;
     a listed source that did not agree still gets a row, without candidates.
     """
-    numbered = with_report_device(manifests).withColumn("position", F.monotonically_increasing_id())
-    valid, rejected = validate_manifests(numbered)
-    chunks, excluded = agreed_only(valid, sources)
+    valid, rejected = validate_manifests(with_report_device(manifests))
+    agreed, excluded = agreed_only(valid, sources)
+    # the rows of one chunk id are few; numbering them keeps ids free of the file layout
+    of_chunk = Window.partitionBy("edge_chunk_id").orderBy("started_at", "source_code", "content_sha256")
+    chunks = agreed.withColumn("position", F.row_number().over(of_chunk))
     plays = top_supplied(chunks, candidates, catalog).join(
         reviews.select("edge_chunk_id", F.col("status").alias("_status")), "edge_chunk_id", "left"
     ).withColumns(
@@ -67,7 +69,9 @@ def shadow_report(
         .join(cards, "source_code")
     )
     warnings = excluded.select("warning").unionByName(
-        rejected.select(F.concat(F.lit("chunk skipped: "), F.get("errors", F.lit(0))).alias("warning"))
+        rejected.select(
+            F.concat(F.lit("chunk "), F.coalesce("edge_chunk_id", F.lit("without id")), F.lit(" skipped: "), F.get("errors", F.lit(0))).alias("warning")
+        )
     )
     header = sources.agg(F.count(F.lit(1)).alias("source_count")).select(
         F.concat(F.lit("shadow-"), F.date_format(F.lit(period[0]).cast("timestamp"), "yyyyMMdd")).alias("report_id"),

@@ -140,6 +140,12 @@ def test_identifiers(spark):
     assert tuple(row) == ("UGXYZ2400001", None, "T-012.345.678-9", "T-012.345.678-9", None, "h llo world|")
 
 
+def test_offsets_of_whole_hours(spark):
+    texts = ["2026-07-01T10:00:00+03", "2026-07-01T10:00:00.5-0300", "2026-07-01T10:00Z", "2026-07-01", "2026-07-01T10:00:00"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(C.has_offset(F.col("t"))).collect()] == [True, True, True, False, False]
+
+
 def test_report_scenario(spark, tmp_path):
     chunk = lambda n: f"00000000-0000-4000-8000-{n:012d}"
     manifests = [
