@@ -12,8 +12,9 @@ elements share all but k of their signatures. Therefore
   plus one, to meet every partner.
 
 Equal sets are one node from the start. In each group of nodes that share a signature the
-first node is compared with the others; only nodes that are not connected by then are
-compared with each other. Comparisons are exact, on the whole sets.
+most common node is compared with the others. Sets that this leaves unconnected and that
+share enough elements with others of their group are compared in blocks, without a row for
+a pair. Comparisons are exact, on the whole sets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from spinledger.llm.components import components
 BAND = 2
 #: Most rows of an id list that every executor gets whole; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Sets on either side of a block of comparisons.
+BLOCK = 256
 _WORDS: dict[bytes, int] = {}
 _REMEMBERED = 1_000_000
 
@@ -256,12 +259,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: float = 0.75) ->
     if not groups.isEmpty():
         wanted = nodes.join(groups.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "node")
         sets = materialize(_sets_of(docs, wanted, n).dropDuplicates(["node"]), "elements")
-        first = groups.groupBy("grp").agg(F.min("node").alias("a"))
-        stars = materialize(groups.join(first, "grp").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+        often = groups.groupBy("node").agg(F.count(F.lit(1)).alias("n"))  # an original shares more with its copies than they with each other
+        first = groups.join(often, "node").groupBy("grp").agg(F.max(F.struct("n", "node"))["node"].alias("a"))
+        stars = groups.join(first, "grp").filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        stars = materialize(stars.distinct(), "stars")
         links = materialize(similar_pairs(stars, sets, percent), "links")
-        open_pairs = materialize(_unconnected(groups, stars, links), "open_pairs")
-        if not open_pairs.isEmpty():
-            links = links.union(similar_pairs(open_pairs, sets, percent))
+        open_sets = materialize(_open_sets(groups, links, sets, percent), "open_sets")
+        if not open_sets.isEmpty():
+            links = links.union(cross_links(open_sets, sets, percent))
     part = components(links) if links is not None else spark.createDataFrame([], "node bigint, component bigint")
     placed = nodes.join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
     first_of = placed.groupBy("part").agg(F.min("rep").alias("by_set"))
@@ -276,16 +281,91 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity: float = 0.75) ->
     return documents.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _unconnected(members: DataFrame, stars: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of a group that are still to be compared: neither connected nor compared."""
+def _split_groups(placed: DataFrame) -> DataFrame:
+    """The rows of groups whose nodes lie in several parts."""
+    split = placed.groupBy("grp").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y")
+    return placed.join(split.select("grp"), "grp")
+
+
+def _open_sets(groups: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(grp, node, part) of sets that may have links beyond their part.
+
+    A set shares with no other set here what only it has here. With the rest of its
+    elements it must reach the overlap that a partner as small as the group's smallest
+    asks for; sets that cannot leave the group.
+    """
     label = components(links)
-    placed = members.join(label, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("part"))
-    split = placed.groupBy("grp").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y and n > 2")
-    placed = materialize(placed.join(split.select("grp"), "grp"), "split_groups")
-    a = placed.select("grp", F.col("node").alias("a"), F.col("part").alias("part_a"))
-    b = placed.select("grp", F.col("node").alias("b"), F.col("part").alias("part_b"))
-    pairs = a.join(b, "grp").filter("a < b and part_a <> part_b").select("a", "b").distinct()
-    return pairs.join(stars, ["a", "b"], "left_anti")
+    placed = groups.join(label, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("part"))
+    placed = materialize(_split_groups(placed), "split_groups")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 200):
+                found = [np.frombuffer(x, np.int64) for x in batch["elements"][k : k + 200]]
+                nodes = np.repeat(batch["node"][k : k + 200].to_numpy(), [len(x) for x in found])
+                yield pd.DataFrame({"node": nodes, "element": np.concatenate(found)})
+
+    own = sets.join(placed.select("node").distinct(), "node").select("node", "elements")
+    single = own.mapInPandas(listed, "node bigint, element bigint").groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    alone = single.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.length("elements") / 8
+    sized = own.join(alone, "node", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common"))
+    placed = placed.join(sized, "node")
+    least = placed.groupBy("grp").agg(F.min("size").alias("least"))
+    able = placed.join(least, "grp").filter(f"common * {100 + percent} >= {percent} * (size + least)").drop("least")
+    return _split_groups(able).select("grp", "node", "part")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``x`` with each of ``y``."""
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    total = np.zeros((len(x), len(y)))
+    for k in range(0, len(common), 4096):
+        part = common[k : k + 4096]
+        total += np.stack([np.isin(part, s, assume_unique=True) for s in x]).astype(np.float32) @ np.stack(
+            [np.isin(part, s, assume_unique=True) for s in y]
+        ).T.astype(np.float32)
+    return total
+
+
+def _fresh(cells: DataFrame) -> DataFrame:
+    """The columns under new identities, so that two sides of one table can be told apart."""
+    return cells.select(*[F.col(c).alias(c) for c in ("cluster", "i", "j", "node", "part", "elements")])
+
+
+def cross_links(open_sets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between parts: all sets outside a cluster's largest part against all of the cluster, in blocks.
+
+    A cluster is what groups with a node in common make up. No pair becomes a row unless
+    it links two parts, and then once for a node and a part.
+    """
+    first = open_sets.groupBy("grp").agg(F.min("node").alias("b"))
+    of = components(open_sets.join(first, "grp").select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("cluster"))
+    rows = materialize(open_sets.select("node", "part").distinct().join(of, "node").join(sets, "node"), "clusters")
+    sizes = rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    plan = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "part"))["part"].alias("main"), blocks(F.sum("n")).alias("all_blocks"), blocks(F.sum("n") - F.max("n")).alias("some_blocks")
+    )
+    dealt = rows.join(plan.filter("some_blocks > 0"), "cluster")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = ["cluster", "i", "j"]
+    some = _fresh(dealt.filter("part <> main").withColumns({"i": block("some_blocks"), "j": every("all_blocks")}))
+    whole = _fresh(dealt.withColumns({"i": every("some_blocks"), "j": block("all_blocks")}))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = ([np.frombuffer(e, np.uint64) for e in side["elements"]] for side in (left, right))
+        both = _overlaps(x, y)
+        together = np.array([len(e) for e in x])[:, None] + np.array([len(e) for e in y])
+        linked = (100 * both >= percent * (together - both)) & (left["part"].to_numpy()[:, None] != right["part"].to_numpy())
+        i, j = np.nonzero(linked)
+        found = pd.DataFrame({"a": left["node"].to_numpy()[i], "part": right["part"].to_numpy()[j], "b": right["node"].to_numpy()[j]})
+        return found.drop_duplicates(["a", "part"])[["a", "b"]]
+
+    return some.groupBy(*cell).cogroup(whole.groupBy(*cell)).applyInPandas(compare, "a bigint, b bigint")
 
 
 #: The same over a view ``documents`` with unique ids.
