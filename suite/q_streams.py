@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spinledger.functions.lineage import shared_folder
 from spinledger.operators.ops import outbox_backlog
 from spinledger.sources import readers
 from spinledger.streaming import jobs
@@ -15,12 +16,8 @@ from suite.registry import query
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared checkpoint area, or a temporary one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    unique = spark.sql("select uuid() as u").first()["u"]
-    return f"{shared.rstrip('/')}/streams-{unique}"
+    """A fresh folder in the cluster's shared checkpoint area."""
+    return f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
 
 
 class StreamTables(Tables):
