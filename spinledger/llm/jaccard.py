@@ -38,7 +38,7 @@ BROADCAST_ROWS = 1_000_000
 #: Sets on either side of a block of comparisons.
 BLOCK = 256
 _WORDS: dict[bytes, int] = {}
-_REMEMBERED = 1_000_000
+_REMEMBERED = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
