@@ -5,13 +5,22 @@ with each template by twice the shared distinct bigrams over the sum of both cou
 coefficient of at least t needs bigram counts within a factor t / (2 - t) of each other,
 so the counts rule most templates out; the templates are constants in the plan, and
 nothing is shuffled.
+
+Passages, which share their lines with other words or run over several lines, are sought
+as well. A passage that reaches t holds at least t / (2 - t) of a template's bigrams, so
+texts without one of a template's anchors, a few more than the bigrams that may be
+missing, are left out first. In the rest each window of words that begins and ends with a
+bigram of the template is compared; for templates of 32 bigrams and more the windows
+begin with the first and end with the last such bigram of each sixteenth of its size.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Notices and opening clauses of public licences.
@@ -49,16 +58,66 @@ TEMPLATES = {
 }
 
 
+def complete_texts() -> dict[str, str]:
+    """Whole licence texts by name, without the names of copyright holders."""
+    return {path.stem: path.read_text("utf-8") for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def template_bigrams(text: str) -> list[str]:
     words = re.findall(r"[^\W_]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct word bigrams of a text, as hashes; a text of one word has none."""
+def usable(templates: dict[str, str]) -> dict[str, list[str]]:
+    """The bigrams of each template that has any."""
+    known = {name: template_bigrams(text) for name, text in templates.items()}
+    return {name: grams for name, grams in known.items() if grams}
+
+
+def pairs(text: Column) -> Column:
+    """Word bigrams of a text in order, as hashes; a text of one word has none."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(pairs)
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+
+
+def bigrams(text: Column) -> Column:
+    """Distinct word bigrams of a text, as hashes."""
+    return F.array_distinct(pairs(text))
+
+
+def hashes(spark: SparkSession, known: dict[str, list[str]]) -> dict[str, list[int]]:
+    """The bigrams of each template as ``pairs`` hashes them."""
+    split = [F.split(F.lit("\n".join(grams)), "\n").alias(name) for name, grams in known.items()]
+    hashed = [F.transform(F.col(f"`{name}`"), lambda g: F.xxhash64(F.split(g, " ")[0], F.split(g, " ")[1])).alias(name) for name in known]
+    return spark.sql("SELECT 1").select(*split).select(*hashed).first().asDict()
+
+
+def constant(values: list[int]) -> Column:
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def best_template(grams: Column, hashed: dict[str, list[int]], near: float) -> Column:
+    """Struct (dice, license, n_shared) of the nearest template; ties go to the smaller name."""
+    size = F.size(grams)
+
+    def compared(name: str) -> Column:
+        n = len(hashed[name])
+        within = (size >= n * near - 1e-9) & (size <= n / near + 1e-9)
+        shared = F.size(F.array_intersect(grams, constant(hashed[name])))
+        dice = 2 * shared / (size + n)
+        return F.when(within, F.struct(dice.alias("dice"), F.lit(name).alias("license"), shared.alias("n_shared")))
+
+    def better(best: Column, other: Column) -> Column:
+        return F.when(best.isNull() | (other["dice"] > best["dice"]), other).otherwise(best)
+
+    found = F.array(*[compared(name) for name in sorted(hashed)])
+    start = F.lit(None).cast("struct<dice:double,license:string,n_shared:int>")
+    return F.aggregate(found, start, lambda best, other: F.when(other.isNull(), best).otherwise(better(best, other)))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -68,13 +127,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     name. Null and empty texts and lines of one word give nothing; repeated rows give
     repeated rows; a null id is kept; other columns are not read.
     """
-    known = {name: template_bigrams(text) for name, text in (TEMPLATES if templates is None else templates).items()}
-    known = {name: grams for name, grams in known.items() if grams}
+    known = usable(TEMPLATES if templates is None else templates)
     schema = "doc_id bigint, line int, license string, dice double, n_shared int"
     if not known:
         return docs.sparkSession.createDataFrame([], schema)
     near = threshold / (2 - threshold)
     sizes = [len(grams) for grams in known.values()]
+    hashed = hashes(docs.sparkSession, known)
     parts = F.split("text", "\n")
     units = F.transform(parts, lambda part, i: F.struct(i.alias("line"), part.alias("unit")))
     whole = F.when(F.size(parts) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit"))))
@@ -89,30 +148,111 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         .select("doc_id", "line", F.explode(F.array(bigrams(F.col("unit")))).alias("grams"))  # generated, so computed once
         .filter(F.size("grams").between(min(sizes) * near - 1e-9, max(sizes) / near + 1e-9))
     )
-    hashed = {name: F.array(*[F.xxhash64(*map(F.lit, gram.split(" "))) for gram in grams]) for name, grams in known.items()}
-    size = F.size("grams")
+    reached = F.filter(F.array(best_template(F.col("grams"), hashed, near)), lambda b: b["dice"] >= threshold)
+    return rows.select("doc_id", "line", F.explode(reached).alias("best")).select(
+        "doc_id", "line", "best.license", "best.dice", "best.n_shared"
+    )
 
-    def compared(name: str, grams: list[str]) -> Column:
-        n = len(grams)
-        within = (size >= n * near - 1e-9) & (size <= n / near + 1e-9)
-        shared = F.size(F.array_intersect("grams", hashed[name]))
-        dice = 2 * shared / (size + n)
-        return F.when(within, F.struct(dice.alias("dice"), F.lit(name).alias("license"), shared.alias("n_shared")))
 
-    def better(best: Column, other: Column) -> Column:
-        return F.when(best.isNull() | (other["dice"] > best["dice"]), other).otherwise(best)
+def scan_texts(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``scan_licenses``, also for complete licence texts, and those of ``scan_passages``."""
+    texts = TEMPLATES | complete_texts() if templates is None else templates
+    return scan_licenses(docs, texts, threshold).unionByName(scan_passages(docs, texts, threshold))
 
-    found = F.array(*[compared(name, known[name]) for name in sorted(known)])
-    start = F.lit(None).cast("struct<dice:double,license:string,n_shared:int>")
-    best = F.aggregate(found, start, lambda best, other: F.when(other.isNull(), best).otherwise(better(best, other)))
-    reached = F.filter(F.array(best), lambda b: b["dice"] >= threshold)
-    return rows.select("doc_id", "line", F.explode(reached).alias("best")).select(
-        "doc_id", "line", "best.license", "best.dice", "best.n_shared"
+
+def scan_passages(docs: DataFrame, templates: dict[str, str], threshold: float = 0.8) -> DataFrame:
+    """Rows (doc_id, line, license, dice, n_shared) of passages that reach ``threshold``, without overlaps.
+
+    ``line`` is that of the first word. A passage is given where it shares more bigrams
+    with its template than the whole text and every line that it touches do with theirs,
+    as far as they reach ``threshold``; of passages that overlap, the one that shares most
+    bigrams stays.
+    """
+    known = usable(templates)
+    if not known:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, line int, license string, dice double, n_shared int")
+    hashed = hashes(docs.sparkSession, known)
+    full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    near = threshold / (2 - threshold)
+    need = {name: -int(-(len(grams) * near - 1e-9) // 1) for name, grams in known.items()}
+    anchors: set[int] = set()
+    for name, grams in known.items():
+        rare = sorted(range(len(grams)), key=lambda i: (-len(grams[i]), grams[i]))  # noqa: B023
+        anchors.update(hashed[name][i] for i in rare[: len(grams) - need[name] + 1])
+    template = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("license"),
+                constant(hashed[name]).alias("grams"),
+                F.lit(need[name]).alias("need"),
+                F.lit(int(len(grams) / near + 1e-9)).alias("most"),
+                F.lit(max(1, len(grams) // 16 if len(grams) >= 32 else 1)).alias("step"),
+            )
+            for name, grams in known.items()
+        ]
+    )
+    ordered = F.col("pairs")
+
+    def block(at: Column, t: Column) -> Column:
+        return F.floor(at / t["step"])
+
+    def windows(t: Column, at: Column) -> Column:
+        starts = F.filter(at, lambda p, i: (i == 0) | (block(p, t) != block(F.get(at, i - 1), t)))
+        ends = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (block(p, t) != block(F.get(at, i + 1), t)))
+        every = bound(ends, lambda e: F.flatten(F.transform(starts, lambda a: F.transform(
+            F.filter(e, lambda b: (b - a + 1).between(t["need"], t["most"])), lambda b: F.struct(a.alias("first"), b.alias("last"))
+        ))))
+
+        def score(w: Column, own: Column) -> Column:
+            shared = F.size(F.array_intersect(own, t["grams"]))
+            return bound(shared, lambda n: F.struct(
+                (-n).alias("less"), (-2 * n / (F.size(own) + F.size(t["grams"]))).alias("far"), t["license"].alias("license"), w["first"].alias("first"), w["last"].alias("last")
+            ))
+
+        scored = F.transform(every, lambda w: bound(F.array_distinct(F.slice(ordered, w["first"], w["last"] - w["first"] + 1)), lambda own: score(w, own)))
+        return F.filter(scored, lambda w: -w["far"] >= threshold)
+
+    def of_template(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: F.array_contains(t["grams"], F.element_at(ordered, i)))
+        return bound(at, lambda places: windows(t, places))
+
+    possible = F.filter(template, lambda t: F.size(F.array_intersect(ordered, t["grams"])) >= t["need"])
+    every = F.array_sort(F.flatten(F.transform(possible, of_template)))
+    apart = F.aggregate(
+        every,
+        F.array().cast("array<struct<less:int,far:double,license:string,first:int,last:int>>"),
+        lambda kept, w: F.when(F.exists(kept, lambda k: (k["first"] <= w["last"]) & (w["first"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(w))),
+    )
+    plain = F.transform(F.split("text", "\n"), lambda part: F.trim(F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}]+", " ")))
+    counts = F.transform(plain, lambda part: F.when(part == "", 0).otherwise(F.size(F.split(part, " "))))
+    spans = F.aggregate(
+        F.col("counts"),
+        F.array().cast("array<struct<before:int,words:int>>"),
+        lambda seen, n: F.concat(seen, F.array(F.struct(F.coalesce(F.get(seen, F.size(seen) - 1)["before"] + F.get(seen, F.size(seen) - 1)["words"], F.lit(0)).alias("before"), n.alias("words")))),
+    )
+
+    def shared_of(grams: Column) -> Column:
+        return bound(grams, lambda g: bound(best_template(g, hashed, near), lambda b: F.when(b["dice"] >= threshold, b["n_shared"]).otherwise(0)))
+
+    first, last = F.col("w.first"), F.col("w.last")
+    touched = F.filter("spans", lambda s: (s["words"] > 1) & (s["before"] + 1 <= last) & (s["before"] + s["words"] - 1 >= first))
+    of_lines = F.transform(touched, lambda s: shared_of(F.array_distinct(F.slice(ordered, s["before"] + 1, s["words"] - 1))))
+    of_whole = F.when(F.size("spans") > 1, shared_of(F.array_distinct(ordered))).otherwise(0)
+    line = F.size(F.filter("spans", lambda s: s["before"] + s["words"] < first))
+    return (
+        full.filter(F.length("text") > 2 * min(need.values()))
+        .select("doc_id", "text", F.explode(F.array(pairs(F.col("text")))).alias("pairs"))
+        .filter(F.exists("pairs", lambda g: g.isin(*sorted(anchors))))
+        .select("doc_id", "text", "pairs", F.explode(apart).alias("w"))
+        .select("doc_id", "pairs", "w", F.explode(F.array(counts)).alias("counts"))
+        .select("doc_id", "pairs", "w", F.explode(F.array(spans)).alias("spans"))
+        .filter(-F.col("w.less") > F.greatest(F.coalesce(F.array_max(of_lines), F.lit(0)), of_whole))
+        .select("doc_id", line.alias("line"), "w.license", (-F.col("w.far")).alias("dice"), (-F.col("w.less")).alias("n_shared"))
     )
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = 0.8) -> str:
-    """The same for DuckDB over a view ``documents``, without size bounds."""
+    """``scan_licenses`` for DuckDB over a view ``documents``, without size bounds."""
     known = TEMPLATES if templates is None else templates
     values = ", ".join(
         f"('{name}', [{', '.join(repr(g) for g in template_bigrams(text))}])" for name, text in known.items() if template_bigrams(text)

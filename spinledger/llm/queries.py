@@ -70,7 +70,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_license_scan", licenses.oracle())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, folder, "documents"))
+    return licenses.scan_texts(table(spark, folder, "documents"))
 
 
 @query("op4_prefix_forest")

@@ -82,3 +82,26 @@ def test_license_scan_edges(spark):
     assert sorted((r.doc_id or 0, r.license, r.dice) for r in found) == [(0, "mit", 1.0), (3, "mit", 1.0), (3, "mit", 1.0)]
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
     assert licenses.scan_licenses(docs_of(spark, rows), {"none": "word"}).count() == 0
+
+
+def test_license_scan_finds_wrapped_and_embedded_passages(spark):
+    words = licenses.TEMPLATES["apache-2.0-header"].split()
+    header = "\n".join(f"# {' '.join(words[k : k + 9])}" for k in range(0, len(words), 9))
+    code = "\n".join(f"value_{i} = compute(alpha_{i}, beta_{i}) + offset_{i}" for i in range(40))
+    mit = licenses.complete_texts()["mit-text"]
+    rows = [
+        (1, f"intro words here\n{header}\n{code}"),
+        (2, "Some text here. Released under the MIT License. And then more text follows on the line."),
+        (3, mit),
+        (4, f"{code}\n{mit}\n{code}\n{licenses.TEMPLATES['mit']}"),
+        (5, f"{code}\nThis work is licensed under the GNU\nGeneral Public License, version 3. {code}"),
+        (6, "Released under no License; the MIT is a school."),
+    ]
+    found = sorted((r.doc_id, r.line, r.license, round(r.dice, 2)) for r in licenses.scan_texts(docs_of(spark, rows)).collect())
+    assert (1, 1, "apache-2.0-header", 1.0) in found
+    assert [r for r in found if r[0] == 2] == [(2, 0, "mit", 1.0)]
+    assert [r for r in found if r[0] == 3 and r[1] == -1] == [(3, -1, "mit-text", 1.0)]
+    own = [r for r in found if r[0] == 4]
+    assert own == [(4, 42, "mit-text", 1.0), (4, 100, "mit", 1.0)]  # the file begins with two empty lines
+    assert [r for r in found if r[0] == 5] == [(5, 40, "gpl-3.0", 1.0)]
+    assert not [r for r in found if r[0] == 6]
