@@ -31,6 +31,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 _REMEMBERED = 400_000
 UNDETERMINED = "und"
+#: A text is in none of the learned languages if its best one costs it so many times the bits a sign of the learned texts.
+WORST_FIT = 2.5
 
 
 class Pieces:
@@ -148,7 +150,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, vocabulary: str, docs_per_language: int = 1000, rounds: int = 3, smoothing: float = 0.01) -> tuple[list[str], np.ndarray]:
-    """Languages and [piece, language] probabilities.
+    """Languages and [piece, language] probabilities; see ``learn``."""
+    return learn(docs, vocabulary, docs_per_language, rounds, smoothing)[:2]
+
+
+def learn(
+    docs: DataFrame, vocabulary: str, docs_per_language: int = 1000, rounds: int = 3, smoothing: float = 0.01, with_fit: bool = False
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, [piece, language] probabilities and, for ``with_fit``, each language's mean log probability a sign of its learned texts.
 
     Learns from ``text`` and non-null ``lang`` of documents that are not held out: whole
     texts of about ``docs_per_language`` of each language, chosen by a hash of the id. The
@@ -160,7 +169,7 @@ def train(docs: DataFrame, vocabulary: str, docs_per_language: int = 1000, round
     languages = sorted(sizes)
     pieces = pieces_of(vocabulary)
     if not languages:
-        return [], np.zeros((len(pieces.names), 0))
+        return [], np.zeros((len(pieces.names), 0)), np.zeros(0)
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / sizes[lang])))])
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
@@ -192,7 +201,26 @@ def train(docs: DataFrame, vocabulary: str, docs_per_language: int = 1000, round
         counts = np.full(probabilities.shape, smoothing)
         counts[rows["piece"], rows["lang"]] += rows["n"]
         probabilities = counts / counts.sum(0)
-    return languages, probabilities
+    fit = np.zeros(len(languages))
+    if with_fit:
+        last = spark.sparkContext.broadcast(full_table(probabilities))
+
+        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = pieces_of(vocabulary)
+            for batch in batches:
+                langs, n = batch["lang"].map(number).to_numpy(), batch["n"].to_numpy(np.float64)
+                scores = word_scores(batch["word"].tolist(), own, last.value)[np.arange(len(batch)), langs]
+                yield pd.DataFrame({"lang": langs, "score": scores * n, "signs": n * signs(batch["word"])})
+
+        measured = words.mapInPandas(measure, "lang int, score double, signs double").groupBy("lang")
+        for r in measured.agg(F.sum("score").alias("score"), F.sum("signs").alias("signs")).collect():  # one row for a language
+            fit[r["lang"]] = r["score"] / r["signs"]
+    return languages, probabilities, fit
+
+
+def signs(words: list[str] | pd.Series) -> np.ndarray:
+    """Letters of each word and its mark."""
+    return np.array([len(w) + 1 for w in words], dtype=np.float64)
 
 
 def posterior(total: np.ndarray, n: int) -> np.ndarray:
@@ -203,14 +231,15 @@ def posterior(total: np.ndarray, n: int) -> np.ndarray:
 
 
 def language_column(spark: SparkSession, languages: list[str], probabilities: np.ndarray, vocabulary: str) -> Callable[[str], Column]:
-    """A function of the text column that gives struct (lang_pred, score).
+    """A function of the text column that gives struct (lang_pred, score, fit).
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned;
+    ``fit`` is the mean log probability of a letter or word mark in the language. ``und``
+    with score 0 and fit 0 where the text is null or has no letter, or nothing was learned;
     ties go to the language that sorts first.
     """
     shared = spark.sparkContext.broadcast(full_table(probabilities))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, table = pieces_of(vocabulary), shared.value
         known: dict[str, int] = {}
@@ -226,12 +255,13 @@ def language_column(spark: SparkSession, languages: list[str], probabilities: np
                 scores = np.vstack((scores, word_scores(new, pieces, table))) if new else scores
                 for words in rows:
                     if not any(c.isalpha() for w in words for c in w):
-                        out.append((UNDETERMINED, 0.0))
+                        out.append((UNDETERMINED, 0.0, 0.0))
                         continue
-                    chances = posterior(scores[[known[w] for w in words]].sum(0), len(words))
+                    total = scores[[known[w] for w in words]].sum(0)
+                    chances = posterior(total, len(words))
                     best = int(chances.argmax())
-                    out.append((languages[best], float(chances[best])))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                    out.append((languages[best], float(chances[best]), float(total[best] / signs(words).sum())))
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "fit"])
 
     return guess
 
@@ -254,10 +284,16 @@ def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is undetermined or less certain than ``least``."""
-    guess = language_column(docs.sparkSession, *train(docs, vocabulary), vocabulary)
+    """``docs`` without those whose language is undetermined, less certain than ``least`` or none of the learned ones.
+
+    The posterior compares the learned languages with each other only, so a text must also
+    cost no more than ``WORST_FIT`` times the bits a sign of its language's learned texts.
+    """
+    languages, probabilities, fit = learn(docs, vocabulary, with_fit=True)
+    guess = language_column(docs.sparkSession, languages, probabilities, vocabulary)
+    limits = F.coalesce(*[F.when(F.col("__guess.lang_pred") == lang, F.lit(float(WORST_FIT * fit[k]))) for k, lang in enumerate(languages)], F.lit(0.0))
     return (
         docs.withColumn("__guess", guess("text"))
-        .filter((F.col("__guess.lang_pred") != UNDETERMINED) & (F.col("__guess.score") >= least))
+        .filter((F.col("__guess.lang_pred") != UNDETERMINED) & (F.col("__guess.score") >= least) & (F.col("__guess.fit") >= limits))
         .drop("__guess")
     )

@@ -95,3 +95,22 @@ def test_edges(spark):
     nothing = langid.identify(docs.filter("lang is null"), VOCABULARY).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert langid.identify(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    english, german = "the of and tion that with have ing her".split(), "der und schein keit ich nicht ung ver ein".split()
+    made = np.random.default_rng(6)
+    rows = [(i, " ".join(made.choice(english if i % 2 else german, 12)), "en" if i % 2 else "de") for i in range(200)]
+    foreign = [
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί",
+        "الثعلب البني السريع يقفز فوق الكلب الكسول ويركض في الغابة",
+        "तेज भूरी लोमड़ी आलसी कुत्ते के ऊपर कूदती है",
+        "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie przez ciemny las",
+        "xkqz vbnrt plkmj qwrtz ghjkl zxcvb nmtrw",
+        "敏捷的棕色狐狸跳过了懒惰的狗 然后跑进森林",
+    ]
+    rows += [(1000 + i, text, None) for i, text in enumerate(foreign)]
+    docs = spark.createDataFrame([(*r, "s", None, None) for r in rows], SCHEMA)
+    told = {r.doc_id: r for r in langid.identify(docs, VOCABULARY).collect()}
+    assert any(told[1000 + i].score >= 0.5 for i in range(len(foreign)))  # the posterior alone would keep them
+    assert {r.doc_id for r in langid.keep_identified(docs, VOCABULARY).collect()} == set(range(200))
