@@ -11,6 +11,10 @@ elements share all but k of their signatures. Therefore
 - of the rest a set needs only its rarest signatures, k less those that were its own
   plus one, to meet every partner.
 
+PartEnum itself enumerates subsets of parts, so that one shared signature makes a pair.
+Here no subset is enumerated: each signature is one part, and the count of shared
+signatures takes that place. The results are the same, as comparisons are exact.
+
 Equal sets are one node from the start. In each group of nodes that share a signature the
 most common node is compared with the others. Sets that this leaves unconnected and that
 share enough elements with others of their group are compared in blocks, without a row for
