@@ -23,15 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     What follows no longer depends on the executors that computed the rows. The
-    table is deleted when the driver's JVM ends.
+    table is deleted when the driver's JVM ends. With ``folders`` each value of that
+    column gets a folder of its own, so that a filter on it reads no other.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(folder)
+    writer = df.write.partitionBy(folders) if folders else df.write
+    writer.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder).getParent()
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinledger.llm import ann, bpe, jaccard, langid, licenses, line_dedup, media, packing, quality, token_output
+from spinledger.llm import ann, bpe, jaccard, langid, licenses, line_dedup, media, packing, quality, spelling, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_cotraining")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
