@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinledger.llm import ann, bpe, jaccard, langid, licenses, line_dedup, media, packing, quality, spelling, token_output
+from spinledger.llm import ann, bpe, conversations, jaccard, langid, licenses, line_dedup, media, packing, quality, spelling, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_spelling_variants")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_digests(table(spark, folder, "conversations"))
