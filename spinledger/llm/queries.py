@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinledger.llm import ann, bpe, conversations, jaccard, langid, licenses, line_dedup, media, packing, quality, spelling, token_output
+from spinledger.llm import ann, bpe, conversations, jaccard, langid, licenses, line_dedup, media, packing, quality, spelling, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_digests(table(spark, folder, "conversations"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
