@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinledger.functions.columns import is_blank
+from spinledger.functions.lineage import cut
 from spinledger.schemas import DISPUTE_REASONS
 
 MAX_NOTE = 2_000
@@ -64,23 +65,18 @@ def command_errors() -> Column:
     )
 
 
-def apply_commands(
-    detections: DataFrame, disputes: DataFrame, commands: DataFrame, commands_per_slice: int = 4_096
-) -> DataFrame:
-    """Every command with ``accepted``, ``reason`` and the detection's ``status_after``.
-
-    Commands of a detection apply in ``seq`` order, a number unique over all commands.
-    A command maps each of ten states to a state, and such maps compose. So a long
-    history is cut into slices of ``seq``: each slice is folded into one map, the
-    few maps give every slice its first state, and the slices replay independently.
-    """
+def first_states(detections: DataFrame, disputes: DataFrame) -> DataFrame:
+    """(detection_id, _start): the number of each detection's state before any command."""
     opened = disputes.where(F.col("status") == "open").select("detection_id").distinct().withColumn("_open", F.lit(True))
-    first_state = F.lit(0)
+    first = F.lit(0)
     for i, (status, is_open) in enumerate(STATES):
         match = (F.col("status") == status) & (F.coalesce("_open", F.lit(False)) == F.lit(is_open))
-        first_state = F.when(match, i).otherwise(first_state)
-    start = detections.join(opened, "detection_id", "left").select("detection_id", first_state.alias("_start"))
+        first = F.when(match, i).otherwise(first)
+    return detections.join(opened, "detection_id", "left").select("detection_id", first.alias("_start"))
+
 
+def judged_commands(commands: DataFrame) -> DataFrame:
+    """``commands`` with ``_error``, the stateless refusal, and ``_action``, a number into ``ACTIONS``, where there is none."""
     action = (
         F.when(F.col("value") == "verified", 0)
         .when(F.col("value") == "rejected", 1)
@@ -88,40 +84,104 @@ def apply_commands(
         .when(F.col("value") == "upheld", 3)
         .when(F.col("value") == "dismissed", 4)
     )
-    checked = commands.withColumn("_error", command_errors()).withColumn(
-        "_action", F.when(F.col("_error").isNull(), action)
-    )
-    slice_number = F.floor(F.col("seq") / F.lit(commands_per_slice)).cast("long")
+    return commands.withColumn("_error", command_errors()).withColumn("_action", F.when(F.col("_error").isNull(), action))
+
+
+def _composed(kids: Column) -> Column:
+    """One state map for maps that follow one another."""
+    same = F.array(*[F.lit(i) for i in range(len(STATES))])
+    return F.aggregate(kids, same, lambda acc, k: F.transform(acc, lambda s: F.get(k["_map"], s)))
+
+
+def _entered(kids: Column, state: Column) -> Column:
+    """Each map's own place and the state it begins with, after the maps before it."""
+    entry = "array<struct<_at:bigint,_start:int>>"
+    return F.aggregate(
+        kids,
+        F.struct(state.alias("state"), F.array().cast(entry).alias("log")),
+        lambda acc, k: F.struct(
+            F.get(k["_map"], acc["state"]).alias("state"),
+            F.concat(acc["log"], F.array(F.struct(k["_at"].alias("_at"), acc["state"].alias("_start")))).alias("log"),
+        ),
+    )["log"]
+
+
+def _tree_states(leaves: DataFrame, start: DataFrame, fan_in: int) -> DataFrame:
+    """(detection_id, _part, _slice, _start): the state in which each slice begins.
+
+    Maps are composed upwards, ``fan_in`` neighbours at a time: the slices of a detection
+    within one part, then its parts. From the detection's own first state the states go
+    down the same tree.
+    """
+    most = leaves.agg(F.max("_slice").alias("s"), F.max("_part").alias("p")).first()
+    nodes, levels = leaves.select("detection_id", "_part", F.col("_slice").alias("_at"), "_map"), []
+
+    def up(keys: list[str]) -> None:
+        nonlocal nodes
+        kids = F.array_sort(F.collect_list(F.struct("_at", "_map"))).alias("_kids")  # at most fan_in
+        above = nodes.groupBy(*keys, F.floor(F.col("_at") / fan_in).cast("long").alias("_up")).agg(kids)
+        if levels:
+            above = cut(above)
+        levels.append((keys, above))
+        nodes = above.select(*keys, F.col("_up").alias("_at"), _composed(F.col("_kids")).alias("_map"))
+
+    slices, parts = most["s"] or 0, most["p"] or 0
+    while slices:
+        up(["detection_id", "_part"])
+        slices //= fan_in
+    nodes = nodes.select("detection_id", F.col("_part").cast("long").alias("_at"), "_map")
+    while True:
+        up(["detection_id"])
+        parts //= fan_in
+        if not parts:
+            break
+    states = nodes.join(start, "detection_id", "left").select("detection_id", "_at", "_start")
+    inside = False
+    for keys, above in reversed(levels):
+        if "_part" in keys and not inside:  # what was a part's place becomes its name
+            states, inside = states.select("detection_id", F.col("_at").alias("_part"), F.lit(0).cast("long").alias("_at"), "_start"), True
+        below = above.join(states.withColumnRenamed("_at", "_up"), [*keys, "_up"])
+        states = below.select(*keys, F.explode(_entered(F.col("_kids"), F.col("_start"))).alias("e")).select(*keys, "e.*")
+    if not inside:
+        return states.select("detection_id", F.col("_at").alias("_part"), F.lit(0).cast("long").alias("_slice"), "_start")
+    return states.select("detection_id", "_part", F.col("_at").alias("_slice"), "_start")
+
+
+def apply_commands(
+    detections: DataFrame, disputes: DataFrame, commands: DataFrame, fan_in: int = 256
+) -> DataFrame:
+    """Every command with ``accepted``, ``reason`` and the detection's ``status_after``.
+
+    Commands of a detection apply in ``seq`` order, a number unique over all commands.
+    A command maps each of ten states to a state, and such maps compose. All commands are
+    sorted over the tasks, so a detection with many of them spreads over several parts;
+    within a part each ``fan_in`` of its commands are a slice, counted, however their
+    numbers lie. A tree of composed maps gives every slice its first state, and the
+    slices replay independently. No row holds more than ``fan_in`` commands or maps.
+    """
+    judged = judged_commands(commands)
     moves = _moves()
-    unmoved = F.array(*[F.lit(i) for i in range(len(STATES))])
-    slices = (
-        checked.withColumn("_slice", slice_number)
-        .groupBy("detection_id", "_slice")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "_action", "_error"))).alias("_items"))
-        .withColumn("_moves", moves)
-        .withColumn(
-            "_map",
-            F.aggregate(
-                F.filter("_items", lambda x: x["_action"].isNotNull()),
-                unmoved,
-                lambda acc, x: F.transform(acc, lambda s: F.get(F.get(F.col("_moves"), x["_action"]), s)),
-            ),
-        )
+    spread = (
+        judged.where(F.col("detection_id").isNotNull())
+        .select("detection_id", "seq", "_action", "_error")
+        .repartitionByRange("detection_id", "seq")
+        .withColumn("_part", F.spark_partition_id().cast("long"))
     )
-    entries = slices.groupBy("detection_id").agg(
-        F.array_sort(F.collect_list(F.struct("_slice", "_map"))).alias("_maps")
-    ).join(start, "detection_id", "left")
-    walked = F.aggregate(
-        "_maps",
-        F.struct(F.col("_start").alias("state"), F.array().cast("array<struct<slice:bigint,state:int>>").alias("log")),
-        lambda acc, m: F.struct(
-            F.get(m["_map"], acc["state"]).alias("state"),
-            F.concat(acc["log"], F.array(F.struct(m["_slice"].alias("slice"), acc["state"].alias("state")))).alias("log"),
-        ),
+    counted = F.row_number().over(Window.partitionBy("detection_id", "_part").orderBy("seq")) - 1
+    one_map = F.aggregate(
+        F.filter("_items", lambda x: x["_action"].isNotNull()),
+        F.array(*[F.lit(i) for i in range(len(STATES))]),
+        lambda acc, x: F.transform(acc, lambda s: F.get(F.get(F.col("_moves"), x["_action"]), s)),
     )
-    first = entries.select("detection_id", F.explode(walked["log"]).alias("e")).select(
-        "detection_id", F.col("e.slice").alias("_slice"), F.col("e.state").alias("_first")
+    slices = cut(
+        spread.withColumn("_slice", F.floor(counted / fan_in).cast("long"))
+        .groupBy("detection_id", "_part", "_slice")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "_action", "_error"))).alias("_items"))
+        .withColumn("_moves", moves)
+        .withColumn("_map", one_map)
+        .drop("_moves")
     )
+    states = _tree_states(slices, first_states(detections, disputes), fan_in)
     result = "struct<seq:bigint,error:string,action:int,before:int,after:int>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -136,16 +196,23 @@ def apply_commands(
         )
         return F.struct(after.alias("state"), F.concat(acc["log"], F.array(row)).alias("log"))
 
-    replayed = slices.join(first, ["detection_id", "_slice"]).select(
+    replayed = slices.withColumn("_moves", moves).join(states, ["detection_id", "_part", "_slice"]).select(
         "detection_id",
         F.explode(
             F.aggregate(
                 "_items",
-                F.struct(F.col("_first").alias("state"), F.array().cast(f"array<{result}>").alias("log")),
+                F.struct(F.col("_start").alias("state"), F.array().cast(f"array<{result}>").alias("log")),
                 step,
             )["log"]
         ).alias("r"),
     )
+    nowhere = judged.where(F.col("detection_id").isNull()).select(
+        "detection_id",
+        F.struct(
+            F.col("seq").cast("bigint").alias("seq"), F.col("_error").alias("error"), F.col("_action").alias("action"),
+            F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"),
+        ).alias("r"),
+    )
     names = F.array(*[F.lit(status) for status, _ in STATES])
     refused = (
         F.when(F.col("r.error").isNotNull(), F.col("r.error"))
@@ -155,7 +222,7 @@ def apply_commands(
         .when((F.col("r.action") == 2) & (F.col("r.before") % 2 == 1), "dispute_already_open")
         .otherwise("state_conflict")
     )
-    return replayed.select(
+    return replayed.unionByName(nowhere).select(
         "detection_id",
         F.col("r.seq").alias("seq"),
         refused.isNull().alias("accepted"),
@@ -165,6 +232,20 @@ def apply_commands(
     )
 
 
+def next_outcome(state: int | None, action: int | None, error: str | None) -> tuple[int | None, str | None]:
+    """The state after one judged command, and why it is refused, or None."""
+    if error is not None:
+        return state, error
+    if state is None:
+        return None, "not_found"
+    after = STATES.index(_next_state(ACTIONS[action], *STATES[state]))
+    if after != state:
+        return after, None
+    if ACTIONS[action] in ("uphold", "dismiss"):
+        return state, "no_open_dispute"
+    return state, "dispute_already_open" if ACTIONS[action] == "open" and STATES[state][1] else "state_conflict"
+
+
 def latest_status(detections: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Each detection's status after its last accepted command."""
     last = (

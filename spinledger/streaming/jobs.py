@@ -7,15 +7,18 @@ replaces its own output and a second stream never touches the first one's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from spinledger.config import FingerprintConfig, MatcherConfig
 from spinledger.operators.ingest import ingest
-from spinledger.operators.lifecycle import apply_commands
+from spinledger.operators.lifecycle import STATES, first_states, judged_commands, next_outcome
 from spinledger.operators.matching import chunk_landmarks, match
 from spinledger.operators.validation import validate_manifests
 
@@ -164,36 +167,73 @@ def source_counts(manifests: DataFrame) -> DataFrame:
     )
 
 
+class ReviewState(StatefulProcessor):
+    """A detection's state, kept from its first command on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("state", "state int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        commands = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        kept = self._state.exists()
+        first = None if pd.isna(commands["first"].iloc[0]) else int(commands["first"].iloc[0])
+        state, out = self._state.get()[0] if kept else first, []
+        for seq, action, error in zip(commands["seq"], commands["action"], commands["error"], strict=True):
+            error = None if pd.isna(error) else error
+            state, reason = next_outcome(state, None if pd.isna(action) else int(action), error)
+            status, opened = (None, None) if state is None else STATES[state]
+            out.append((key[0], int(seq), reason is None, reason, status, opened))
+        if state is not None:
+            self._state.update((state,))
+        yield pd.DataFrame(out, columns=["detection_id", "seq", "accepted", "reason", "status_after", "dispute_open_after"])
+
+    def close(self) -> None:
+        pass
+
+
 def apply_command_stream(
     stream: DataFrame, detections: DataFrame, disputes: DataFrame, path: str, checkpoint: str, *, once: bool = True
 ) -> StreamingQuery:
     """Apply review commands as they arrive; outcomes are appended per batch.
 
-    A detection's state is its first status plus its last accepted outcome. Only the
-    detections a batch names are looked up.
+    Commands take effect in the order of arrival: batch after batch, by ``seq`` within
+    one. The state store keeps the state of each detection that had a command, so no
+    batch reads earlier outcomes, and a smaller ``seq`` that comes later starts from the
+    state that is in force. Until its first command a detection has the state of
+    ``detections`` and ``disputes`` as they were when the query started. The commands of
+    one detection in one batch are one group in memory; limit a batch by the source's
+    options.
     """
-    schema = (
-        "detection_id string, seq bigint, accepted boolean, reason string, status_after string, "
-        "dispute_open_after boolean, run string, batch bigint"
+    judged = judged_commands(stream).join(first_states(detections, disputes), "detection_id", "left")
+    kind = stream.schema["detection_id"].dataType.simpleString()
+    outcomes = (
+        judged.select("detection_id", "seq", F.col("_action").alias("action"), F.col("_error").alias("error"), F.col("_start").alias("first"))
+        .groupBy("detection_id")
+        .transformWithStateInPandas(
+            ReviewState(),
+            f"detection_id {kind}, seq bigint, accepted boolean, reason string, status_after string, dispute_open_after boolean",
+            "append",
+            "none",
+        )
     )
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        named = batch.select("detection_id").distinct()
-        earlier = _earlier(_table(spark, path, schema), checkpoint, number).where("accepted")
-        last = (
-            earlier.join(named, "detection_id", "left_semi")
-            .groupBy("detection_id")
-            .agg(F.max_by(F.struct("status_after", "dispute_open_after"), "seq").alias("s"))
-        )
-        here = detections.join(named, "detection_id", "left_semi").join(last, "detection_id", "left")
-        state = here.withColumn("status", F.coalesce("s.status_after", "status"))
-        before = disputes.join(last.select("detection_id"), "detection_id", "left_anti").select("detection_id", "status")
-        opened = last.where("s.dispute_open_after").select("detection_id", F.lit("open").alias("status"))
-        outcomes = apply_commands(state.select("detection_id", "status"), before.unionByName(opened), batch)
-        outcomes.write.mode("overwrite").parquet(_folder(path, checkpoint, number))
-
-    return _run(stream, handle, checkpoint, once)
+        batch.write.mode("overwrite").parquet(_folder(path, checkpoint, number))
+
+    with _keyed_state(stream.sparkSession):
+        return _run(outcomes, handle, checkpoint, once)
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Start a query with the state store that stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 __all__ = [

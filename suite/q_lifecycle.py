@@ -35,7 +35,7 @@ walk as (
 
 
 def outcomes(t: Tables) -> DataFrame:
-    return lifecycle.apply_commands(t.detections, t.disputes, t.commands, commands_per_slice=1_000)
+    return lifecycle.apply_commands(t.detections, t.disputes, t.commands)
 
 
 @query(

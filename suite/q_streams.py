@@ -12,9 +12,14 @@ from spinledger.operators.ops import outbox_backlog
 from spinledger.sources import readers
 from spinledger.streaming import jobs
 from suite.projections import TEXT_SCHEMA, Tables
+from suite.q_lifecycle import WALK
 from suite.registry import query
 
 
+# The walk of q_lifecycle in the order in which the stream's three deliveries arrive.
+ARRIVING = WALK.replace("order by seq) as n", "order by seq % 3, seq) as n")
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder in the cluster's shared checkpoint area."""
     return f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
@@ -142,15 +147,20 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "stream_commands",
-    "select detection_id, seq from commands",
+    f"select * from ({ARRIVING} select detection_id, seq, cast(accepted as int) as accepted, reason, status as status_after from walk where n > 0)",
 )
 def _(t: Tables) -> DataFrame:
+    """Commands come in three deliveries, each with smaller numbers than some before; the query restarts for each."""
     path = scratch(t.spark)
     text = lambda df: df.withColumn("detection_id", F.col("detection_id").cast("string"))
-    jobs.apply_command_stream(
-        text(streamed(t).commands), text(t.detections), text(t.disputes), f"{path}/outcomes", f"{path}/cp"
-    ).awaitTermination()
-    return t.spark.read.parquet(f"{path}/outcomes").select(F.col("detection_id").cast("bigint").alias("detection_id"), "seq")
+    commands = text(t.commands)
+    for delivery in range(3):
+        commands.where(F.col("seq") % 3 == delivery).write.mode("append").parquet(f"{path}/commands")
+        arriving = t.spark.readStream.schema(commands.schema).parquet(f"{path}/commands")
+        jobs.apply_command_stream(arriving, text(t.detections), text(t.disputes), f"{path}/outcomes", f"{path}/cp").awaitTermination()
+    return t.spark.read.parquet(f"{path}/outcomes").select(
+        F.col("detection_id").cast("bigint").alias("detection_id"), "seq", F.col("accepted").cast("int").alias("accepted"), "reason", "status_after"
+    )
 
 
 # Readers: the tables are written as the pilot's JSON documents and read back. ---------

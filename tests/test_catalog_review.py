@@ -1,6 +1,7 @@
 """Documents, manifests, review commands, reports and readers on small inputs."""
 
 import json
+import random
 import struct
 import wave
 
@@ -131,6 +132,31 @@ def test_review_state_matrix(spark, per_slice):
     assert final == {"c": "verified", "v": "rejected", "x": "rejected", "d": "rejected"}
 
 
+@pytest.mark.parametrize("fan_in", [2, 3, 256])
+def test_one_detection_with_most_commands(spark, fan_in):
+    made = random.Random(fan_in)
+    detections = spark.createDataFrame([("hot", "candidate"), ("cold", "verified")], "detection_id string, status string")
+    disputes = spark.createDataFrame([], "detection_id string, status string")
+    kinds = [("decide", "verified"), ("decide", "rejected"), ("open", "other"), ("resolve", "upheld"), ("resolve", "dismissed"), ("open", "boredom")]
+    numbers = made.sample(range(10**12), 600)  # sparse numbers: slices are counted
+    rows = [(made.choice(["hot"] * 9 + ["cold", None, "none"]), seq, *made.choice(kinds), NOTE) for seq in numbers]
+    commands = [(d, seq, kind, "u", "catalog_admin", value, note) for d, seq, kind, value, note in rows]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = lifecycle.apply_commands(detections, disputes, spark.createDataFrame(commands, COMMANDS), fan_in).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    number = {"verified": 0, "rejected": 1, "other": 2, "upheld": 3, "dismissed": 4}
+    states, expected = {"hot": lifecycle.STATES.index(("candidate", False)), "cold": lifecycle.STATES.index(("verified", False))}, {}
+    for d, seq, _, value, _ in sorted(rows, key=lambda r: r[1]):
+        state, reason = lifecycle.next_outcome(states.get(d), number.get(value), "invalid_value" if value == "boredom" else None)
+        if state is not None:
+            states[d] = state
+        status, opened = lifecycle.STATES[state] if state is not None else (None, None)
+        expected[seq] = (d, reason is None, reason, status, opened)
+    assert {r.seq: (r.detection_id, r.accepted, r.reason, r.status_after, r.dispute_open_after) for r in found} == expected and len(found) == 600
+
+
 def test_identifiers(spark):
     row = spark.range(1).select(
         C.normalize_isrc(F.lit("ug-xyz 24-00001")).alias("a"), C.normalize_isrc(F.lit("UGXYZ240001")).alias("b"),

@@ -64,3 +64,29 @@ def test_receipts_and_detections_once(spark, tmp_path):
     detections = spark.read.parquet(f"{path}/detections")
     assert detections.count() == first > 0 and detections.where(F.col("status") != "candidate").count() == 0
     assert spark.read.parquet(f"{path}/audit").where("action = 'capture.ingested'").count() == 6
+
+
+def test_smaller_numbers_that_arrive_later(spark, tmp_path):
+    """State in force is what the last delivery left, over restarts, whatever the numbers."""
+    detections = spark.createDataFrame([("d", "candidate"), ("e", "verified")], "detection_id string, status string")
+    disputes = spark.createDataFrame([], "detection_id string, status string")
+    schema = "detection_id string, seq bigint, command string, user_id string, role string, value string, note string"
+    deliveries = [
+        [("d", 50, "decide", "verified"), ("e", 10, "open", "other"), ("none", 1, "open", "other")],
+        [("d", 20, "open", "duplicate"), ("d", 10, "decide", "rejected")],  # by number within a delivery
+        [("d", 60, "open", "duplicate"), ("d", 5, "resolve", "upheld"), ("e", 5, "resolve", "dismissed")],
+        [],
+        [("d", 1, "resolve", "upheld")],
+    ]
+    for rows in deliveries:
+        commands = spark.createDataFrame([(d, n, c, "u", "catalog_admin", v, "a note that is long enough") for d, n, c, v in rows], schema)
+        commands.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.apply_command_stream(stream, detections, disputes, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "detection_id", "seq").collect()
+    assert [(r.detection_id, r.seq, r.reason, r.status_after) for r in found] == [
+        ("d", 50, None, "verified"), ("e", 10, None, "disputed"), ("none", 1, "not_found", None),
+        ("d", 10, "state_conflict", "verified"), ("d", 20, None, "disputed"),
+        ("d", 5, None, "rejected"), ("d", 60, "state_conflict", "rejected"), ("e", 5, None, "verified"),
+        ("d", 1, "no_open_dispute", "rejected"),
+    ]
