@@ -7,13 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spinledger.functions.skew import salt_of
 from spinledger.functions.slices import scan_slices, slice_of
 
-#: Tasks among which the facts of one key and month are dealt.
-LOOKUP_SALTS = 8
-
-
 def disjoint_versions(
     versions: DataFrame, on: Sequence[str], payload: Sequence[str], prefer: Sequence[Column] = ()
 ) -> DataFrame:
@@ -38,87 +33,85 @@ def effective_at(
     versions: DataFrame,
     on: Sequence[str],
     *,
-    fact_key: Sequence[str],
     at: str,
     payload: Sequence[str],
     prefer: Sequence[Column] = (),
-    until: object = None,
 ) -> DataFrame:
     """Left as-of join: each fact, equal ones included, with the version valid on its day.
 
-    Versions are made disjoint first, so a fact meets at most one and is not grouped
-    again. They are listed once per calendar month they touch, so the join is an
-    equi-join on the keys and the month with the exact dates as a residual test.
-    Open intervals end at ``until``, a date no fact lies after; without it the last
-    fact is looked up first. The facts of a key are dealt to several tasks by ``fact_key``.
+    Versions are made disjoint first, so a fact meets at most one. The days that facts of
+    a key ask for and the days on which its versions begin go into one table, and in the
+    order of days the last version is carried forward; a key has as many rows there as
+    days and versions, however many facts it has, and no version is copied. The answers,
+    one for each key and day, then join the facts on equal keys and days, a join that
+    Spark broadcasts when small and whose hot keys it splits when not.
     """
-    month = lambda d: (F.year(d) * 12 + F.month(d)).cast("int")
-    horizon = facts.agg(F.max(at)).scalar() if until is None else F.lit(until).cast("date")
-    last = F.least(F.coalesce(F.date_sub("_end", 1), horizon), horizon)
-    listed = (
-        disjoint_versions(versions, on, payload, prefer)
-        .withColumn("_from", month(F.col("_begin")))
-        .withColumn("_to", month(last))
-        .where(F.col("_from") <= F.col("_to"))
-        .select(
-            *[F.col(c).alias(f"_on_{c}") for c in on],
-            F.explode(F.sequence("_from", "_to")).alias("_on_month"),
-            "_begin",
-            "_end",
-            "_v",
-        )
+    asked = facts.where(F.col(at).isNotNull()).select(*on, F.col(at).alias("_begin")).distinct()
+    version = F.struct("_end", "_v").alias("_version")
+    begins = disjoint_versions(versions, on, payload, prefer).select(*on, "_begin", F.lit(0).alias("_asked"), version)
+    none = F.lit(None).cast(begins.schema["_version"].dataType).alias("_version")
+    merged = begins.unionByName(asked.select(*on, "_begin", F.lit(1).alias("_asked"), none))
+    through = Window.partitionBy(*on).orderBy("_begin", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    carried = merged.withColumn("_last", F.last("_version", ignorenulls=True).over(through)).where(
+        "_asked = 1 and _last is not null and (_last._end is null or _begin < _last._end)"
     )
-    listed = listed.withColumn("_on_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    dated = facts.withColumn("_month", month(F.col(at))).withColumn("_salt", salt_of(fact_key, LOOKUP_SALTS))
-    same = (F.col("_month") == F.col("_on_month")) & (F.col("_salt") == F.col("_on_salt"))
+    answers = carried.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.col("_begin").alias("_on_day"), F.col("_last._v").alias("_v"))
+    same = F.col(at) == F.col("_on_day")
     for c in on:
         same = same & (F.col(c) == F.col(f"_on_{c}"))
-    in_force = (F.col(at) >= F.col("_begin")) & (F.col("_end").isNull() | (F.col(at) < F.col("_end")))
-    met = dated.join(listed, same & in_force, "left")
+    met = facts.join(answers, same, "left")
     return met.select(*facts.columns, *[F.col(f"_v.{c}").alias(c) for c in payload])
 
 
-def effective_weight(usage: DataFrame, weights: DataFrame, until: object = None) -> DataFrame:
-    return effective_at(
-        usage, weights, ["source_id"], fact_key=["usage_id"], at="used_on", payload=["weight"], until=until
-    )
+def effective_weight(usage: DataFrame, weights: DataFrame) -> DataFrame:
+    return effective_at(usage, weights, ["source_id"], at="used_on", payload=["weight"])
 
 
-def effective_tariff(usage: DataFrame, tariffs: DataFrame, until: object = None) -> DataFrame:
-    """A tariff for the source type beats one for any source type, then the later one."""
-    how = {"fact_key": ["usage_id", "right_type"], "at": "used_on", "until": until}
+def effective_tariff(usage: DataFrame, tariffs: DataFrame) -> DataFrame:
+    """A tariff for the source type beats one for any source type, then the later one.
+
+    Both are looked up for the days and keys that are asked for, not for each usage row.
+    """
     columns = ["tariff_id", "base_rate_ugx"]
     key = ["catalog_id", "right_type"]
-    own = effective_at(usage, tariffs.where("source_type is not null"), [*key, "source_type"], payload=columns, **how)
+    full = [*key, "source_type", "used_on"]
+    asked = usage.select(*full).distinct()
+    own = effective_at(asked, tariffs.where("source_type is not null"), [*key, "source_type"], at="used_on", payload=columns)
     named = own.withColumnsRenamed({c: f"_own_{c}" for c in columns})
-    general = effective_at(named, tariffs.where("source_type is null"), key, payload=columns, **how)
+    general = effective_at(named, tariffs.where("source_type is null"), key, at="used_on", payload=columns)
     mine = F.col("_own_tariff_id").isNotNull()
-    return general.select(*usage.columns, *[F.when(mine, F.col(f"_own_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    chosen = general.select(
+        *[F.col(c).alias(f"_on_{c}") for c in full], *[F.when(mine, F.col(f"_own_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    ).where("tariff_id is not null")
+    same = F.col("source_type").eqNullSafe(F.col("_on_source_type"))  # of an unknown type, a general tariff holds
+    for c in (*key, "used_on"):
+        same = same & (F.col(c) == F.col(f"_on_{c}"))
+    kept = [c for c in usage.columns if c not in columns]
+    return usage.select(*kept).join(chosen, same, "left").select(*kept, *columns)
 
 
-def active_split(
-    usage: DataFrame, sheets: DataFrame, recording_works: DataFrame, until: object = None
-) -> DataFrame:
-    """The active sheet in force: of the recording for master rights, of its works otherwise."""
+def active_split(usage: DataFrame, sheets: DataFrame, recording_works: DataFrame) -> DataFrame:
+    """The active sheet in force: of the recording for master rights, of its works otherwise.
+
+    Usage of other than master rights comes back once for each linked work, named by
+    ``work_id``; a recording without works has one row and no sheet.
+    """
     active = sheets.where(F.col("status") == "active")
-    by_recording = active.where(F.col("right_type") == "master").select(
-        F.col("recording_id"), "right_type", "split_sheet_id", "valid_from", "valid_to"
-    )
-    by_work = (
-        active.where(F.col("right_type") != "master")
-        .select("work_id", "right_type", "split_sheet_id", "valid_from", "valid_to")
-        .join(recording_works.select("recording_id", "work_id"), "work_id")
-        .select("recording_id", "right_type", "split_sheet_id", "valid_from", "valid_to")
-    )
-    return effective_at(
-        usage,
-        by_recording.unionByName(by_work),
+    master = F.col("right_type") == "master"
+    columns = ["right_type", "split_sheet_id", "valid_from", "valid_to"]
+    own = effective_at(
+        usage.where(master).withColumn("work_id", F.lit(None).cast(sheets.schema["work_id"].dataType)),
+        active.where(master).select("recording_id", *columns),
         ["recording_id", "right_type"],
-        fact_key=["usage_id", "right_type"],
         at="used_on",
         payload=["split_sheet_id"],
-        until=until,
     )
+    links = recording_works.select("recording_id", "work_id").distinct()
+    linked = usage.where(F.col("right_type").isNull() | ~master).join(links, "recording_id", "left").select(*usage.columns, "work_id")
+    of_works = effective_at(
+        linked, active.where(~master).select("work_id", *columns), ["work_id", "right_type"], at="used_on", payload=["split_sheet_id"]
+    )
+    return own.unionByName(of_works)
 
 
 def overlapping_weights(weights: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from spinledger.functions.columns import error_list, is_blank, stable_id
+from spinledger.functions.columns import error_list, is_blank, local_date, stable_id
 from spinledger.functions.lineage import cut
 from spinledger.functions.skew import salted_lookup
 from spinledger.operators.effective import active_split, effective_tariff, effective_weight
@@ -20,6 +21,18 @@ from spinledger.schemas import BASIS_POINTS
 RATE_PLACES, WEIGHT_PLACES, SECONDS_PLACES = 4, 6, 3
 
 
+PLACES = {
+    "base_rate_ugx": RATE_PLACES, "weight": WEIGHT_PLACES, "detected_seconds": SECONDS_PLACES, "reference_seconds": SECONDS_PLACES
+}
+
+
+def _too_long(name: str) -> Column:
+    """Whether a number has more decimal places than the contract holds; NULL where it is none."""
+    value = F.col(name).cast("string").try_cast("decimal(38,12)")
+    exact = value.cast("string").try_cast("double") == F.col(name).cast("string").try_cast("double")
+    return ~exact | (value != F.round(value, PLACES[name]))
+
+
 def usage_errors() -> Column:
     """What is wrong with raw usage inputs, given as text, double or decimal."""
     numbers = ["base_rate_ugx", "weight", "detected_seconds", "reference_seconds"]
@@ -37,6 +50,7 @@ def usage_errors() -> Column:
             | (finite["reference_seconds"] & (value["reference_seconds"] <= 0)),
             "durations must be non-negative and reference duration must be positive",
         ),
+        *[(finite[c] & _too_long(c), f"{c} has more than {n} decimal places") for c, n in PLACES.items()],
     )
 
 
@@ -59,13 +73,19 @@ def eligible_usage(detections: DataFrame, disputes: DataFrame) -> tuple[DataFram
 def gross(usage: DataFrame, quantum_digits: int = 0) -> DataFrame:
     """Add ``numerator``, ``denominator``, ``gross_raw_ugx`` and ``gross_settled`` units.
 
-    One unit is ten to the minus ``quantum_digits`` UGX. Settlement rounds half up.
+    One unit is ten to the minus ``quantum_digits`` UGX. Settlement rounds half up. A
+    number with more decimal places than its contract ends the job; it is never rounded.
     """
     if not 0 <= quantum_digits <= 4:
         raise ValueError("the settlement quantum must be a power of ten from 0.0001 to 1")
-    whole = lambda c, digits, places: (
-        F.col(c).cast(f"decimal({digits},{places})") * F.lit(10**places).cast("decimal(8,0)")
-    ).cast(f"decimal({digits},0)")
+    kinds = {f.name: f.dataType for f in usage.schema.fields}
+
+    def whole(c: str, digits: int, places: int) -> Column:
+        kind, value = kinds[c], F.col(c)
+        if not isinstance(kind, IntegralType) and not (isinstance(kind, DecimalType) and kind.scale <= places):
+            value = F.when(_too_long(c), F.raise_error(F.lit(f"{c} has more than {places} decimal places"))).otherwise(value)
+        return (value.cast(f"decimal({digits},{places})") * F.lit(10**places).cast("decimal(8,0)")).cast(f"decimal({digits},0)")
+
     product = whole("base_rate_ugx", 18, 4) * whole("weight", 12, 6)
     numerator = (product.cast("decimal(30,0)") * whole("detected_seconds", 10, 3)).cast("decimal(38,0)")
     denominator = (
@@ -217,11 +237,9 @@ def usage_inputs(
     tariffs: DataFrame,
     sheets: DataFrame,
     recording_works: DataFrame,
-    until: object = None,
 ) -> DataFrame:
-    """Freeze the weight, tariff and split in force for each usage row and right."""
-    weighted = effective_weight(usage, weights, until)
-    return active_split(effective_tariff(weighted, tariffs, until), sheets, recording_works, until)
+    """Freeze the weight, tariff and split in force for each usage row and right, and each linked work of the latter."""
+    return active_split(effective_tariff(effective_weight(usage, weights), tariffs), sheets, recording_works)
 
 
 def royalty_run(
@@ -240,16 +258,20 @@ def royalty_run(
 ) -> dict[str, DataFrame]:
     """Price and allocate one catalog's verified usage in ``[start, end)``.
 
-    Returns ``usage_items``, ``allocations`` and ``held``. Keys are hashes of the run
-    and the detection, so a rerun writes the same rows.
+    A detection's day is ``used_on``, or without that column the local date of its
+    ``started_at``. Returns ``usage_items``, one for each linked work of rights in works,
+    ``allocations`` and ``held``. Keys are hashes of the run, the detection and the work,
+    so a rerun writes the same rows.
     """
+    if "used_on" not in detections.columns:
+        detections = detections.withColumn("used_on", local_date("started_at"))
     scope = (F.col("catalog_id") == F.lit(catalog_id)) & (F.col("used_on") >= F.lit(period[0])) & (F.col("used_on") < F.lit(period[1]))
     chosen = detections.where(scope)
     eligible, held = eligible_usage(chosen, disputes)
     asked = eligible.withColumn("usage_id", F.col("detection_id")).withColumn(
         "right_type", F.explode(F.array(*[F.lit(r) for r in right_types]))
     )
-    frozen = usage_inputs(asked, weights, tariffs, sheets, recording_works, until=period[1])
+    frozen = usage_inputs(asked, weights, tariffs, sheets, recording_works)
     judged_sheets = recipient_errors(lines).select("split_sheet_id", F.size("errors").alias("_faults"))
     checked = salted_lookup(frozen, judged_sheets, ["split_sheet_id"], spread_by=["usage_id", "right_type"])
     missing = error_list(
@@ -262,11 +284,12 @@ def royalty_run(
     judged = cut(checked.withColumn("hold_reasons", missing).drop("_faults"))
     run = stable_id(F.lit(str(catalog_id)), F.lit(str(period[0])), F.lit(str(period[1])), F.lit(calculation_version))
     priced = gross(judged.where(F.size("hold_reasons") == 0).drop("hold_reasons")).withColumn("royalty_run_id", run)
-    items = priced.withColumn("usage_item_id", stable_id("royalty_run_id", "detection_id", "right_type"))
+    items = priced.withColumn("usage_item_id", stable_id("royalty_run_id", "detection_id", "right_type", "work_id"))
     allocations = allocate(items, lines).withColumn("allocation_id", stable_id("usage_item_id", "split_line_id"))
-    columns = ["detection_id", "right_type", "hold_reasons"]
+    columns = ["detection_id", "right_type", "work_id", "hold_reasons"]
     all_held = (
         held.withColumn("right_type", F.lit(None).cast("string"))
+        .withColumn("work_id", F.lit(None).cast(judged.schema["work_id"].dataType))
         .select(*columns)
         .unionByName(judged.where(F.size("hold_reasons") > 0).select(*columns))
     )

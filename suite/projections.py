@@ -98,9 +98,11 @@ class Tables:
 
     @property
     def recording_works(self) -> DataFrame:
-        return self.recordings.select(
-            "recording_id", (F.col("recording_id") % 500).alias("work_id"), F.lit(True).alias("is_primary_work")
-        )
+        """A work for every recording, a second one for each tenth."""
+        rec = F.col("recording_id")
+        first, second = [F.struct((w % 500).alias("work_id"), F.lit(p).alias("is_primary_work")) for w, p in ((rec, True), (rec + 250, False))]
+        links = F.when(rec % 10 == 0, F.array(first, second)).otherwise(F.array(first))
+        return self.recordings.select("recording_id", F.inline(links))
 
     @property
     def sheets(self) -> DataFrame:

@@ -131,15 +131,15 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "active_split",
-    """select u.usage_id, r.right_type, s.split_sheet_id from usage_rows u cross join (select unnest(['master', 'composition']) as right_type) r
-    left join recording_works rw on rw.recording_id = u.recording_id
+    """select u.usage_id, r.right_type, rw.work_id, s.split_sheet_id from usage_rows u cross join (select unnest(['master', 'composition']) as right_type) r
+    left join recording_works rw on r.right_type <> 'master' and rw.recording_id = u.recording_id
     left join sheets s on s.status = 'active' and s.right_type = r.right_type
-     and (s.recording_id = u.recording_id or s.work_id = rw.work_id) and used_on >= valid_from and (valid_to is null or used_on <= valid_to)""",
+     and (r.right_type = 'master' and s.recording_id = u.recording_id or s.work_id = rw.work_id) and used_on >= valid_from and (valid_to is null or used_on <= valid_to)""",
 )
 def _(t: Tables) -> DataFrame:
     asked = t.usage.withColumn("right_type", F.explode(F.array(F.lit("master"), F.lit("composition"))))
     found = effective.active_split(asked, t.sheets, t.recording_works)
-    return found.select("usage_id", "right_type", "split_sheet_id")
+    return found.select("usage_id", "right_type", "work_id", "split_sheet_id")
 
 
 @query(
@@ -174,7 +174,8 @@ def _(t: Tables) -> DataFrame:
     "usage_errors",
     """select o_orderkey as usage_id, concat_ws('; ', case when o_orderkey % 7 = 0 then 'base_rate_ugx must be finite' end,
       case when o_totalprice - 20000 < 0 then 'rate and source weight cannot be negative' end,
-      case when o_orderkey % 5 = 0 then 'durations must be non-negative and reference duration must be positive' end) as errors from orders""",
+      case when o_orderkey % 5 = 0 then 'durations must be non-negative and reference duration must be positive' end,
+      case when o_orderkey % 4 = 1 then 'detected_seconds has more than 3 decimal places' end) as errors from orders""",
 )
 def _(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
@@ -182,69 +183,95 @@ def _(t: Tables) -> DataFrame:
         key.alias("usage_id"),
         F.lit("master").alias("right_type"),
         F.when(key % 7 == 0, F.when(key % 2 == 0, "NaN").otherwise("a lot")).otherwise("100.5").alias("base_rate_ugx"),
-        (F.col("o_totalprice") - 20000).alias("weight"),
-        F.lit(30).cast("decimal(10,3)").alias("detected_seconds"),
+        (F.col("o_totalprice").cast("decimal(12,2)") - 20000).alias("weight"),
+        F.when(key % 4 == 1, "30.0005").otherwise("30.500").alias("detected_seconds"),
         F.when(key % 5 == 0, 0).otherwise(180).alias("reference_seconds"),
     )
     return royalty.validate_usage(rows).select("usage_id", F.array_join("errors", "; ").alias("errors"))
 
 
 def run(t: Tables) -> dict[str, DataFrame]:
+    """Both rights of catalog 3, with open disputes, unresolved overlaps and days that are local ones."""
+    key = F.col("usage_id")
+    hours = F.make_dt_interval(hours=(key % 24).cast("int"))
     detections = t.usage.join(t.sources.select("source_id", "source_type"), "source_id").select(
-        F.col("usage_id").alias("detection_id"), "source_id", "source_type", "recording_id", "catalog_id", "used_on",
-        "status", "detected_seconds", "reference_seconds", F.lit(True).alias("overlap_resolved"),
+        key.alias("detection_id"), "source_id", "source_type", "recording_id", "catalog_id", (F.col("used_on").cast("timestamp") + hours).alias("started_at"),
+        "status", "detected_seconds", "reference_seconds", (key % 8 != 0).alias("overlap_resolved"),
+    )
+    order = F.col("o_orderkey")
+    disputes = t.raw("orders").select(order.alias("detection_id"), F.when(order % 10 == 3, "open").otherwise("dismissed").alias("status"))
+    tariffs = t.tariffs.unionByName(
+        t.tariffs.withColumns(
+            {"tariff_id": F.col("tariff_id") + 100, "right_type": F.lit("composition"), "base_rate_ugx": (F.col("base_rate_ugx") + 50).cast(t.tariffs.schema["base_rate_ugx"].dataType)}
+        )
+    )
+    work, no = F.col("work_id"), F.col("line_no")
+    shares = F.when(work % 9 == 0, F.array(*map(F.lit, (6000, 4000, 0)))).otherwise(F.array(*map(F.lit, (6000, 4000))))
+    of_works = t.recording_works.select("work_id").distinct().select("work_id", F.posexplode(shares).alias("line_no", "share_basis_points")).select(
+        (work + 1_000_000).alias("split_sheet_id"), (work * 10 + no + 10_000_000).alias("split_line_id"), (no + 1).alias("line_no"),
+        ((work + no) % 10).alias("party_id"), F.lit("composer").alias("role"), "share_basis_points",
     )
-    none = t.raw("orders").limit(0).select(F.col("o_orderkey").alias("detection_id"), F.lit("open").alias("status"))
     return royalty.royalty_run(
-        detections, none, t.weights, t.tariffs, t.sheets, t.split_lines, t.recording_works,
-        catalog_id=3, period=("1996-01-01", "2001-01-01"),
+        detections, disputes, t.weights, tariffs, t.sheets, t.split_lines.unionByName(of_works), t.recording_works,
+        catalog_id=3, period=("1996-01-01", "2001-01-01"), right_types=("master", "composition"),
     )
 
 
 RUN = """
-chosen as (select u.*, s.source_type from usage_rows u join sources s using (source_id) where catalog_id = 3 and used_on >= date '1996-01-01' and used_on < date '2001-01-01'),
-w as (select c.*, x.weight_pct from chosen c left join weights x on x.source_id = c.source_id and used_on >= x.valid_from and (x.valid_to is null or used_on <= x.valid_to)),
-f as (select w.*, t.tariff_id, t.base_rate_ugx as rate from w left join tariffs t on t.catalog_id = w.catalog_id and (t.source_type is null or t.source_type = w.source_type)
+chosen as (select u.* replace (cast(used_on + case when usage_id % 24 >= 21 then 1 else 0 end as date) as used_on), s.source_type from usage_rows u join sources s using (source_id)
+  where catalog_id = 3 and cast(used_on + case when usage_id % 24 >= 21 then 1 else 0 end as date) between date '1996-01-01' and date '2000-12-31'),
+asked as (select c.*, r.right_type, rw.work_id from chosen c cross join (select unnest(['master', 'composition']) as right_type) r
+  left join recording_works rw on r.right_type <> 'master' and rw.recording_id = c.recording_id
+  where status = 'verified' and usage_id % 10 <> 3 and usage_id % 8 <> 0),
+w as (select c.*, x.weight_pct from asked c left join weights x on x.source_id = c.source_id and used_on >= x.valid_from and (x.valid_to is null or used_on <= x.valid_to)),
+f as (select w.*, t.tariff_id + case when w.right_type = 'master' then 0 else 100 end as tariff_id, t.base_rate_ugx + case when w.right_type = 'master' then 0 else 50 end as rate
+   from w left join tariffs t on t.catalog_id = w.catalog_id and (t.source_type is null or t.source_type = w.source_type)
    and used_on >= valid_from and (valid_to is null or used_on <= valid_to)
-  qualify row_number() over (partition by w.usage_id order by t.source_type is null, valid_from desc, tariff_id desc) = 1),
-z as (select f.*, s.split_sheet_id from f left join sheets s on s.status = 'active' and s.recording_id = f.recording_id and used_on >= valid_from and (valid_to is null or used_on <= valid_to)),
-bad as (select split_sheet_id from split_lines group by 1 having sum(share_basis_points) <> 10000),
-items as (select *, rate * weight_pct * detected_seconds as n, 100 * reference_seconds as d from z where status = 'verified' and weight_pct is not null and tariff_id is not null
+  qualify row_number() over (partition by w.usage_id, w.right_type, w.work_id order by t.source_type is null, valid_from desc, t.tariff_id desc) = 1),
+z as (select f.*, s.split_sheet_id from f left join sheets s on s.status = 'active' and s.right_type = f.right_type and (f.right_type = 'master' and s.recording_id = f.recording_id or s.work_id = f.work_id)
+   and used_on >= valid_from and (valid_to is null or used_on <= valid_to)),
+all_lines as (select split_sheet_id, line_no, party_id, share_basis_points from split_lines
+  union all select work_id + 1000000, n, (work_id + n - 1) % 10, case n when 1 then 6000 when 2 then 4000 else 0 end
+   from (select distinct work_id from recording_works) cross join (select unnest([1, 2, 3]) as n) where n < 3 or work_id % 9 = 0),
+bad as (select split_sheet_id from all_lines group by 1 having sum(share_basis_points) <> 10000),
+items as (select *, rate * weight_pct * detected_seconds as n, 100 * reference_seconds as d from z where weight_pct is not null and tariff_id is not null
    and split_sheet_id is not null and split_sheet_id not in (select split_sheet_id from bad)),
 priced as (select *, (2 * n + d) // (2 * d) as gross_settled from items)"""
 
 
 @query(
     "royalty_run_items",
-    _with(RUN, "select usage_id as detection_id, tariff_id, split_sheet_id, cast(gross_settled as bigint) as gross_settled from priced"),
+    _with(RUN, "select usage_id as detection_id, right_type, work_id, tariff_id, split_sheet_id, cast(gross_settled as bigint) as gross_settled from priced"),
 )
 def _(t: Tables) -> DataFrame:
     return run(t)["usage_items"].select(
-        "detection_id", "tariff_id", "split_sheet_id", F.col("gross_settled").cast("bigint").alias("gross_settled")
+        "detection_id", "right_type", "work_id", "tariff_id", "split_sheet_id", F.col("gross_settled").cast("bigint").alias("gross_settled")
     )
 
 
 @query(
     "royalty_run_held",
-    _with(RUN, """select usage_id as detection_id, case when status <> 'verified' then 'status:' || status
-      when weight_pct is null or tariff_id is null or split_sheet_id is null then concat_ws(',', case when weight_pct is null then 'no_source_weight' end,
-        case when tariff_id is null then 'no_tariff' end, case when split_sheet_id is null then 'no_active_split' end) else 'split_invalid' end as hold_reasons
-      from z where usage_id not in (select usage_id from items)"""),
+    _with(RUN, """select usage_id as detection_id, null as right_type, null as work_id, concat_ws(',', case when status <> 'verified' then 'status:' || status end,
+       case when usage_id % 10 = 3 then 'open_dispute' end, case when usage_id % 8 = 0 then 'overlap_unresolved' end) as hold_reasons
+      from chosen where status <> 'verified' or usage_id % 10 = 3 or usage_id % 8 = 0
+      union all select usage_id, right_type, work_id, case when weight_pct is null or tariff_id is null or split_sheet_id is null then concat_ws(',', case when weight_pct is null then 'no_source_weight' end,
+        case when tariff_id is null then 'no_tariff' end, case when split_sheet_id is null then 'no_active_split' end) else 'split_invalid' end
+      from z where weight_pct is null or tariff_id is null or split_sheet_id is null or split_sheet_id in (select split_sheet_id from bad)"""),
 )
 def _(t: Tables) -> DataFrame:
-    return run(t)["held"].select("detection_id", F.array_join("hold_reasons", ",").alias("hold_reasons"))
+    return run(t)["held"].select("detection_id", "right_type", "work_id", F.array_join("hold_reasons", ",").alias("hold_reasons"))
 
 
 @query(
     "royalty_run_allocations",
     _with(RUN + """,
-parts as (select p.*, l.line_no, l.party_id, (n * share_basis_points) // (d * 10000) as fl, (n * share_basis_points) % (d * 10000) as rest from priced p join split_lines l using (split_sheet_id)),
-al as (select *, fl + case when row_number() over (partition by usage_id order by rest desc, line_no) <= gross_settled - sum(fl) over (partition by usage_id) then 1 else 0 end as settled_amount from parts)""",
-        "select usage_id as detection_id, line_no, party_id, cast(settled_amount as bigint) as settled_amount from al"),
+parts as (select p.*, l.line_no, l.party_id, (n * share_basis_points) // (d * 10000) as fl, (n * share_basis_points) % (d * 10000) as rest from priced p join all_lines l using (split_sheet_id)),
+al as (select *, fl + case when row_number() over (partition by usage_id, right_type, work_id order by rest desc, line_no) <= gross_settled - sum(fl) over (partition by usage_id, right_type, work_id) then 1 else 0 end as settled_amount from parts)""",
+        "select usage_id as detection_id, right_type, work_id, line_no, party_id, cast(settled_amount as bigint) as settled_amount from al"),
 )
 def _(t: Tables) -> DataFrame:
     return run(t)["allocations"].select(
-        "detection_id", F.col("line_no").cast("bigint").alias("line_no"), "party_id", F.col("settled_amount").cast("bigint").alias("settled_amount")
+        "detection_id", "right_type", "work_id", F.col("line_no").cast("bigint").alias("line_no"), "party_id", F.col("settled_amount").cast("bigint").alias("settled_amount")
     )
 
 

@@ -30,7 +30,9 @@ select recording_id as split_sheet_id, recording_id * 10 + line_no as split_line
             else 9000 - recording_id % 5000 - cast(floor((9000 - recording_id % 5000) / 2) as bigint)
                  - case when recording_id % 97 = 0 then 1 else 0 end end as share_basis_points
   from recordings cross join (select unnest([1, 2, 3]) as line_no)""",
-    "recording_works": "select recording_id, recording_id % 500 as work_id, true as is_primary_work from recordings",
+    "recording_works": """
+select recording_id, recording_id % 500 as work_id, true as is_primary_work from recordings
+union all select recording_id, (recording_id + 250) % 500, false from recordings where recording_id % 10 = 0""",
     "sheets": """
 select recording_id as split_sheet_id, case when recording_id % 23 = 0 then (recording_id + 1) % 7 else catalog_id end as catalog_id,
        recording_id, cast(null as bigint) as work_id, 'master' as right_type, 1 as version,

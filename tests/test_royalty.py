@@ -124,3 +124,49 @@ def test_equal_facts_stay_apart(spark):
     dated = versions.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")})
     found = effective.effective_weight(facts.withColumn("used_on", F.col("used_on").cast("date")), dated).collect()
     assert sorted((r.usage_id, r.weight) for r in found) == [("u", 2), ("u", 2), ("v", 1)]
+
+
+def test_one_key_with_most_facts(spark):
+    """A third of all facts of one source, most of them on one day: no version is copied and nothing is lost."""
+    day = F.when(F.col("id") % 6 == 0, F.lit("2024-05-05")).otherwise(F.date_add(F.lit("2019-01-01").cast("date"), (F.col("id") % 3000).cast("int")))
+    facts = spark.range(30_000).select(
+        F.col("id").alias("usage_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("source_id"), day.cast("date").alias("used_on")
+    )
+    versions = spark.range(500 * 4).select(
+        F.when(F.col("id") % 500 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("source_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 500).cast("int") * 400).alias("valid_from"),
+        F.when(F.col("id") < 500, F.lit("2020-12-31").cast("date")).alias("valid_to"), F.col("id").alias("weight"),
+    )
+    found = effective.effective_weight(facts, versions)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 1  # the two ends of each version, as points
+    expected = facts.join(versions, (facts.source_id == versions.source_id) & (F.col("used_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("used_on") <= F.col("valid_to"))), "left")
+    latest = expected.groupBy("usage_id").agg(F.max_by("weight", "valid_from").alias("weight"))
+    assert found.count() == 30_000 and found.select("usage_id", "weight").exceptAll(latest).count() == 0
+
+
+def test_extra_decimals_are_refused(spark):
+    schema = "usage_id string, right_type string, base_rate_ugx string, weight string, detected_seconds string, reference_seconds string"
+    rows = spark.createDataFrame([("a", "master", "0.00004", "1", "1", "1"), ("b", "master", "0.00010", "1.0000001", "1.0005", "1e1"), ("c", "master", "1.5", "0.25", "1.125", "3")], schema)
+    errors = {r.usage_id: r.errors for r in royalty.validate_usage(rows).collect()}
+    assert errors == {
+        "a": ["base_rate_ugx has more than 4 decimal places"],
+        "b": ["weight has more than 6 decimal places", "detected_seconds has more than 3 decimal places"],
+        "c": [],
+    }
+    with pytest.raises(Exception, match="more than [46] decimal places"):
+        royalty.gross(rows).collect()
+    exact = royalty.gross(rows.where("usage_id = 'c'")).first()
+    assert exact.gross_settled == 0 and exact.gross_raw_ugx == Decimal("0.14062500")
+
+
+def test_every_linked_work_has_its_sheet(spark):
+    sheets = spark.createDataFrame(
+        [("m", "r", None, "master"), ("w1", None, "x", "composition"), ("w2", None, "y", "composition")],
+        "split_sheet_id string, recording_id string, work_id string, right_type string",
+    ).withColumns({"status": F.lit("active"), "valid_from": F.lit("2024-01-01").cast("date"), "valid_to": F.lit(None).cast("date")})
+    works = spark.createDataFrame([("r", "x"), ("r", "y"), ("r", "z")], "recording_id string, work_id string")
+    usage = spark.createDataFrame([("u", "r", "master"), ("u", "r", "composition"), ("v", "q", "composition")], "usage_id string, recording_id string, right_type string")
+    found = effective.active_split(usage.withColumn("used_on", F.lit("2024-02-01").cast("date")), sheets, works).collect()
+    assert {(r.usage_id, r.work_id, r.split_sheet_id) for r in found} == {("u", None, "m"), ("u", "x", "w1"), ("u", "y", "w2"), ("u", "z", None), ("v", None, None)}
+    assert len(found) == 5
