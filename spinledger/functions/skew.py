@@ -43,11 +43,21 @@ def salted_lookup(
     return joined.select(*facts.columns) if how in ("left_semi", "left_anti") else joined
 
 
-def hot_key_salts(rows: DataFrame, keys: Sequence[str], rows_per_salt: int) -> DataFrame:
-    """Keys with more than ``rows_per_salt`` rows and the salts each needs."""
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_salt)
-        .select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_salt)).cast("int").alias("_salts"))
+def key_bits(rows: DataFrame, keys: Sequence[str], bits: int = 1 << 22) -> DataFrame:
+    """A table of ``bits`` bits, one set for the hash of each key of ``rows``: ``bits / 64`` rows at most."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    set_bit = F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))")
+    return rows.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).cast("long").alias("_word")).agg(set_bit.alias("_bits"))
+
+
+def may_meet(rows: DataFrame, table: DataFrame, keys: Sequence[str], bits: int = 1 << 22) -> DataFrame:
+    """The rows whose key may stand in the table that :func:`key_bits` made with the same ``bits``.
+
+    Some that do not may stay; a join has to follow. The table has a fixed size, so every
+    executor gets it whole.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    looked_up = rows.withColumn("_bit", bit).join(
+        F.broadcast(table), F.floor(F.col("_bit") / 64).cast("long") == F.col("_word")
     )
+    return looked_up.where(F.expr("getbit(_bits, cast(_bit % 64 as int)) = 1")).select(*rows.columns)

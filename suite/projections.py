@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig
@@ -247,8 +247,8 @@ class Tables:
     @property
     def document_landmarks(self) -> DataFrame:
         marks = pair_peaks(self.peaks("documents", "doc_id"), TEXT_CONFIG)
-        counts = marks.groupBy("clip_id").agg(F.count(F.lit(1)).alias("query_hashes"))
-        return marks.join(counts, "clip_id").select(
+        counted = marks.withColumn("query_hashes", F.count(F.lit(1)).over(Window.partitionBy("clip_id")))  # of one text
+        return counted.select(
             F.col("clip_id").alias("query_id"),
             F.lit(TEXT_SCHEMA).alias("schema_id"),
             F.col("hash_index").alias("query_index"),

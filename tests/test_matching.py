@@ -55,21 +55,38 @@ def frames_of(spark, queries, index):
     )
 
 
-@pytest.mark.parametrize("rows_per_salt", [1_000_000, 7])
-def test_votes_equal_brute_force(spark, rows_per_salt):
+@pytest.mark.parametrize("rows_per_cell", [1_000_000, 7])
+def test_votes_equal_brute_force(spark, rows_per_cell):
     rng = random.Random(5)
     index = {f"t{i}": random_marks(rng, 60) for i in range(4)}
     queries = {f"q{i}": random_marks(rng, 40) for i in range(5)}
     queries["same"] = index["t2"][10:50]
     landmarks, table = frames_of(spark, queries, index)
-    for min_shared in (1, 4):
-        hits = matching.landmark_hits(landmarks, table, CFG, SCALES, min_shared=min_shared, rows_per_salt=rows_per_salt)
-        found = matching.best_alignment(matching.vote(hits)).where("votes >= 4").collect()
+    hits = matching.landmark_hits(landmarks, table, CFG, SCALES, rows_per_cell=rows_per_cell)
+    matched = matching.match(landmarks, table, CFG, MatcherConfig(min_votes=4, limit=9), rows_per_cell=rows_per_cell)
+    for found in (matching.best_alignment(matching.vote(hits)).where("votes >= 4").collect(), matched.collect()):
         for name, marks in queries.items():
             mine = sorted((r.track_id, r.tempo_scale, r.offset_frames, r.votes, r.reference_hits) for r in found if r.query_id == name)
             assert mine == brute_force(marks, index, SCALES, 4), name
 
 
+def test_a_key_hot_on_both_sides(spark):
+    """Every second landmark has one key: its probes and its index rows are dealt over a grid, and each two meet once."""
+    rng = random.Random(6)
+    marks = lambda n: sorted((i, 0 if i % 2 else rng.randrange(-9, 10), 5 if i % 2 else rng.randrange(1, 20)) for i in range(n))
+    queries, index = {f"q{i}": marks(40) for i in range(6)}, {f"t{i}": marks(60) for i in range(5)}
+    landmarks, table = frames_of(spark, queries, index)
+    hot = matching.hot_keys(landmarks, table, CFG, SCALES, 50)
+    cells = {(r.ratio_bin, r.delta_frames): (r._across, r._down) for r in hot.collect()}
+    assert cells[0, 5][0] > 1 and cells[0, 5][1] > 1
+    columns = ["query_id", "query_index", "track_id", "hash_index", "tempo_scale", "ratio_step", "time_step", "offset_frames"]
+    plain = matching.landmark_hits(landmarks, table, CFG, SCALES).select(*columns)
+    dealt = matching.landmark_hits(landmarks, table, CFG, SCALES, hot=hot).select(*columns)
+    assert plain.count() == dealt.count() and plain.exceptAll(dealt).count() == 0
+    plan = matching.match(landmarks, table, CFG, hot=hot)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reference_anchor") and plan.count("Generate explode(variants") == 1  # one probe join, spelled out once
+
+
 def test_uncommon_distances_use_the_same_rule(spark):
     index = {"t": [(5, 0, 55), (9, 1, 60)]}
     queries = {"q": [(5, 0, 55), (9, 1, 57)]}
