@@ -118,11 +118,9 @@ select doc_id as clip_id, 'd' as kind, unnest(string_split(text, ' ')) as w, gen
 union all
 select item_id, 'b', unnest(string_split(text, ' ')), generate_subscripts(string_split(text, ' '), 1) - 1 from benchmark""",
     "peaks": """
-select kind, clip_id, frame, 1 + (cast(ascii(substr(w, 1, 1)) as bigint) * 7919 + cast(ascii(substr(w, 2, 1)) as bigint) * 104729
-       + cast(ascii(substr(w, 3, 1)) as bigint) * 1299709 + cast(ascii(substr(w, length(w), 1)) as bigint) * 15485863 + length(w) * 31) % 65521 as bin
-  from doc_tokens where length(w) >= 4""",
+select kind, clip_id, frame, 1 + cast('0x' || substr(md5(w || ' ' || coalesce(lead(w) over (partition by kind, clip_id order by frame), '')), 1, 4) as bigint) as bin from doc_tokens""",
     "paired": """
-select a.kind, a.clip_id, a.frame as anchor_frame, cast(round_even(4096 * log2((b.bin + 0.5) / (a.bin + 0.5)), 0) as int) as ratio_bin, b.frame - a.frame as delta_frames,
+select a.kind, a.clip_id, a.frame as anchor_frame, cast(round_even(65536 * log2((b.bin + 0.5) / (a.bin + 0.5)), 0) as int) as ratio_bin, b.frame - a.frame as delta_frames,
        row_number() over (partition by a.kind, a.clip_id, a.frame order by b.frame, b.bin) as nth
   from peaks a join peaks b on a.kind = b.kind and a.clip_id = b.clip_id and b.frame between a.frame + 1 and a.frame + 4
 qualify nth <= 2""",
