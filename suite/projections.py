@@ -187,7 +187,7 @@ class Tables:
         start = F.col("ts").cast("timestamp")
         status = F.when(e % 4 == 0, "verified").when(e % 4 == 1, "rejected").when(e % 4 == 2, "candidate")
         scale = F.when(e % 5 == 1, 0.9).when(e % 5 == 2, 1.0).when(e % 5 == 3, 1.05).when(e % 5 == 4, 1.0)
-        return self.raw("events").where(F.col("event_type").isin("click", "purchase")).select(
+        return self.raw("events").where(F.col("event_type").isin("click", "purchase", "signup")).select(
             e.alias("detection_id"),
             (F.col("user_id") % 25).cast("string").alias("source_code"),
             (F.col("user_id") % 50).alias("recording_id"),
@@ -206,7 +206,7 @@ class Tables:
         """A third of the rows by id, a third by ISRC, a third by title and artist."""
         e, rec = F.col("event_id"), F.col("user_id") % 50
         named = self.recordings.select(F.col("recording_id").alias("rid"), "title", "artist", "isrc")
-        rows = self.raw("events").where(F.col("event_type") == "view").withColumn("rid", rec).join(named, "rid", "left")
+        rows = self.raw("events").where(F.col("event_type").isin("view", "error")).withColumn("rid", rec).join(named, "rid", "left")
         return rows.select(
             (F.col("user_id") % 25).cast("string").alias("source_code"),
             e.alias("log_index"),

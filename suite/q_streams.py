@@ -169,7 +169,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "read_station_logs",
     """select 'S' || (user_id % 25) as source_code, epoch_us(ts) // 1000000 as aired, case when event_id % 3 = 0 then '' else 'T' || event_id end as title, cast(event_id % 4 <> 1 as int) as known
-     from events where event_type = 'view'""",
+     from events where event_type in ('view', 'error')""",
 )
 def _(t: Tables) -> DataFrame:
     path, e = scratch(t.spark), F.col("event_id")
@@ -178,7 +178,7 @@ def _(t: Tables) -> DataFrame:
         F.when(e % 4 == 0, True).when(e % 4 == 1, False).alias("known_catalog"),
     )
     # One document per source and day keeps each document small.
-    days = t.raw("events").where("event_type = 'view'").groupBy(
+    days = t.raw("events").where("event_type in ('view', 'error')").groupBy(
         F.concat(F.lit("S"), (F.col("user_id") % 25).cast("string")).alias("s"), F.to_date("ts").alias("d")
     ).agg(F.collect_list(entry).alias("entries"))
     days.select(F.to_json(F.create_map("s", "entries")).alias("value")).write.text(f"{path}/logs", lineSep="\n")

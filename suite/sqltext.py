@@ -89,7 +89,7 @@ select event_id as detection_id, cast(user_id % 25 as varchar) as source_code, u
        ts + interval 30 second as ended_at, epoch_us(ts) + 15000000 as mid_us, event_id % 60 as votes, (event_id % 100) / 100.0::double as confidence_hint,
        case event_id % 5 when 1 then 0.9::double when 2 then 1.0::double when 3 then 1.05::double when 4 then 1.0::double end as tempo_scale,
        case event_id % 4 when 0 then 'verified' when 1 then 'rejected' when 2 then 'candidate' else 'disputed' end as status
-  from events where event_type in ('click', 'purchase')""",
+  from events where event_type in ('click', 'purchase', 'signup')""",
     "station_log": """
 select cast(user_id % 25 as varchar) as source_code, event_id as log_index, epoch_us(ts) as aired_us,
        case when event_id % 11 = 0 then 'Unlisted!' when event_id % 3 = 2 then upper(r.title) else '' end as title,
@@ -97,7 +97,7 @@ select cast(user_id % 25 as varchar) as source_code, event_id as log_index, epoc
        case when event_id % 3 = 0 and event_id % 11 <> 0 then cast(user_id % 50 as varchar) end as recording_id,
        case when event_id % 3 = 1 and event_id % 11 <> 0 then lower(r.isrc) end as isrc,
        event_id % 7 <> 0 as known_catalog
-  from events left join recordings r on r.recording_id = user_id % 50 where event_type = 'view'""",
+  from events left join recordings r on r.recording_id = user_id % 50 where event_type in ('view', 'error')""",
     "cat_keys": """
 select cast(recording_id as varchar) as rid, recording_id, upper(isrc) as isrc,
        trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) as tkey from recordings""",
