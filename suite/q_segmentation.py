@@ -108,3 +108,40 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     found = seg.overlapping_events(events(t))
     return found.select("session_id", "track_id", "started_at_seconds", F.size("overlaps_event_ids").cast("bigint").alias("overlaps"))
+
+
+def acoustic(t: Tables) -> DataFrame:
+    """An acoustic boundary for every event."""
+    e = F.col("event_id")
+    return t.raw("events").select(
+        (F.col("user_id") % 5).alias("session_id"), (e * 2 + (e % 37) / 2).alias("at_seconds"), (e * 13 % 100 / 100).alias("novelty_score"),
+        F.array(F.lit("acoustic_novelty")).alias("reasons"),
+    )
+
+
+BOTH_KINDS = """
+all_b as (select session_id, at_seconds, novelty_score, 1 as ident from identity_b
+  union all select user_id % 5, event_id * 2 + (event_id % 37) / 2.0::double, (event_id * 13 % 100) / 100.0::double, 0 from events),
+steps_b as (select *, lag(at_seconds) over (partition by session_id order by at_seconds) as p from all_b),
+chains_b as (select *, sum(case when p is null or at_seconds - p > 5 then 1 else 0 end) over (partition by session_id order by at_seconds rows unbounded preceding) as chain from steps_b),
+both_b as (select session_id, round(arg_max(at_seconds, (ident, novelty_score, -at_seconds)), 4) as at_seconds, round(max(novelty_score), 5) as novelty_score,
+   case when min(ident) = 0 then 'acoustic_novelty' || case when max(ident) = 1 then ',fingerprint_identity_change' else '' end else 'fingerprint_identity_change' end as reasons
+  from chains_b group by session_id, chain)"""
+
+
+@query("boundaries_of_both_kinds", f"select * from (with {BOTH_KINDS.strip()} select * from both_b)")
+def _(t: Tables) -> DataFrame:
+    _events, merged = seg.segment(t.sessions, t.windows, acoustic(t))
+    return merged.select("session_id", "at_seconds", "novelty_score", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "segmented_with_acoustic",
+    f"""select * from (with {BOTH_KINDS.strip()} select p.session_id, p.track_id, p.started_at_seconds, p.ended_at_seconds,
+      coalesce(string_agg(cast(cast(round(b.at_seconds * 10000, 0) as bigint) as varchar), ',' order by b.at_seconds), '') as nearby
+    from play_events p left join both_b b on b.session_id = p.session_id and b.at_seconds between p.started_at_seconds - 5 and p.ended_at_seconds + 5 group by 1, 2, 3, 4)""",
+)
+def _(t: Tables) -> DataFrame:
+    found, _merged = seg.segment(t.sessions, t.windows, acoustic(t))
+    times = F.transform("nearby_boundary_seconds", lambda x: F.round(x * 10000).cast("bigint").cast("string"))
+    return found.select("session_id", "track_id", "started_at_seconds", "ended_at_seconds", F.array_join(times, ",").alias("nearby"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spinledger.functions.lineage import shared_folder
 from spinledger.operators.ops import outbox_backlog
-from spinledger.sources import readers
+from spinledger.operators.segmentation import play_events, valid_windows
+from spinledger.sources import readers, sinks
 from spinledger.streaming import jobs
 from suite.projections import TEXT_SCHEMA, Tables
 from suite.q_lifecycle import WALK
@@ -220,3 +221,77 @@ def _(t: Tables) -> DataFrame:
     t.usage.write.parquet(f"{path}/usage")
     rows = readers.read_table(t.spark, f"{path}/usage", columns=["source_id"], where="status = 'verified'")
     return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def written(rows: DataFrame, path: str) -> str:
+    """Each JSON document of ``rows`` (name, value) as a file of its own."""
+    rows.write.partitionBy("name").text(path)
+    return path
+
+
+@query("read_reviews", "select 'C' || event_id as edge_chunk_id, case event_id % 3 when 0 then 'verified' when 1 then 'rejected' else 'candidate' end as status from events")
+def _(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    status = F.when(e % 3 == 0, "verified").when(e % 3 == 1, "rejected").otherwise("candidate")
+    item = F.struct(F.concat(F.lit("C"), e.cast("string")), status)
+    days = t.raw("events").groupBy(F.to_date("ts").alias("name")).agg(F.to_json(F.map_from_entries(F.collect_list(item))).alias("value"))
+    return readers.read_reviews(t.spark, written(days, f"{scratch(t.spark)}/reviews"))
+
+
+@query(
+    "read_candidates",
+    """select 'U' || user_id as edge_chunk_id, (row_number() over (partition by user_id order by event_id) - 1)::bigint as rank, 'R' || event_id as recording_id,
+      case when event_id % 4 = 0 then 0 else event_id % 60 end as votes, case when event_id % 5 = 0 then 0.0 else (event_id % 100) / 100.0::double end as hint from events""",
+)
+def _(t: Tables) -> DataFrame:
+    """A chunk for each user; every fourth candidate has no votes and every fifth no hint."""
+    e = F.col("event_id")
+    one = F.struct(
+        e, F.concat(F.lit("R"), e.cast("string")).alias("recording_id"), F.when(e % 4 != 0, e % 60).alias("votes"), F.when(e % 5 != 0, e % 100 / 100).alias("confidence_hint")
+    )
+    lists = t.raw("events").groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    chunk = F.struct(F.concat(F.lit("U"), F.col("user_id").cast("string")), "items")
+    documents = lists.groupBy((F.col("user_id") % 8).alias("name")).agg(F.to_json(F.map_from_entries(F.collect_list(chunk))).alias("value"))
+    rows = readers.read_candidates(t.spark, written(documents, f"{scratch(t.spark)}/candidates"))
+    return rows.select(
+        "edge_chunk_id", F.col("rank").cast("bigint").alias("rank"), "recording_id", F.col("votes").cast("bigint").alias("votes"), F.col("confidence_hint").alias("hint")
+    )
+
+
+@query("read_catalog", "select cast(p_partkey as varchar) as recording_id, p_name as title, p_brand as artist, case when p_partkey % 3 <> 0 then 'UG' || p_partkey end as isrc from part")
+def _(t: Tables) -> DataFrame:
+    key = F.col("p_partkey")
+    entry = F.struct(
+        key.cast("string"),
+        F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.when(key % 3 != 0, F.concat(F.lit("UG"), key.cast("string"))).alias("isrc")),
+    )
+    documents = t.raw("part").groupBy((key % 16).alias("name")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    return readers.read_catalog(t.spark, written(documents, f"{scratch(t.spark)}/catalog"))
+
+
+@query(
+    "written_landmarks",
+    "select clip_id as track_id, hash_index, anchor_frame, ratio_bin, delta_frames, hashes as track_hashes from marks where kind = 'b'",
+)
+def _(t: Tables) -> DataFrame:
+    path = f"{scratch(t.spark)}/index"
+    sinks.write_landmarks(t.index, path)
+    return t.spark.read.parquet(path).select("track_id", "hash_index", "anchor_frame", "ratio_bin", "delta_frames", "track_hashes")
+
+
+@query("appended_detections", "select detection_id from candidates")
+def _(t: Tables) -> DataFrame:
+    """The second append holds all rows again, twice; none of them comes in."""
+    path = f"{scratch(t.spark)}/detections"
+    rows = t.candidates.withColumn("idempotency_key", F.sha2(F.col("detection_id").cast("string"), 256))
+    sinks.append_detections(rows, path)
+    sinks.append_detections(rows.unionByName(rows), path)
+    return t.spark.read.parquet(path).select("detection_id")
+
+
+@query("written_report", "select session_id, track_id, started_at_seconds, ended_at_seconds from play_events")
+def _(t: Tables) -> DataFrame:
+    path = f"{scratch(t.spark)}/report"
+    plays = play_events(valid_windows(t.windows, t.sessions)).select("session_id", "track_id", "started_at_seconds", "ended_at_seconds")
+    sinks.write_report({"plays": plays}, path)
+    return t.spark.read.schema(plays.schema).json(f"{path}/plays")
