@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spinledger.llm.common import materialize
 from spinledger.llm.packing import pack, token_pieces
+from spinledger.llm.word_ids import word_ids
 
 
 def packed_matrix(
@@ -27,10 +28,14 @@ def packed_matrix(
     ``pad_id``); positions (as many unsigned 16-bit positions, 0 in the padding);
     cu_seqlens (0 and the end of each segment); doc_ids, pieces and starts (of each
     segment, so that cut documents can be joined again without loss). Null and empty
-    texts are the end id alone; an empty table gives no sequences.
+    texts are the end id alone; an empty table gives no sequences. A vocabulary with ids
+    that ``id_type`` cannot hold is refused.
     """
     if capacity > 65536:
         raise ValueError("positions are 16 bits wide")
+    largest = max(word_ids(tokenizer, end_id).largest, pad_id)
+    if largest > np.iinfo(id_type).max or min(end_id, pad_id) < np.iinfo(id_type).min:
+        raise ValueError(f"ids up to {largest} do not fit {id_type}")
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, True, id_type), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids"]
     placed = pack(pieces, capacity).select("sequence_id", "offset", *columns)

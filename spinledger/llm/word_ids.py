@@ -40,6 +40,12 @@ class WordIds:
         self._words: dict[bytes, bytes] = {}
         self._end = b"" if end_id is None else array("I", [end_id]).tobytes()
 
+    @property
+    def largest(self) -> int:
+        """The largest id that a text can have."""
+        own = max(self._library.get_vocab(with_added_tokens=True).values(), default=0)
+        return max(own, int.from_bytes(self._end, "little"))
+
     def _parts(self, text: str) -> list[bytes]:
         """Cut a text where a piece certainly ends, into parts that come again often.
 

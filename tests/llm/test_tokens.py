@@ -159,3 +159,12 @@ def test_digests_of_null_and_repeated_rows(spark):
     full = {r.doc_id: r for r in bpe.encode_documents(docs, BYTE_FILE).collect()}
     assert full[3].decoded == "x y" and len(full[3].ids) == 4 * rows[2].n_tokens
     assert bpe.encode_digests(docs.filter(F.lit(False)), BYTE_FILE).count() == 0
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")
+    for bad in ({"end_id": 70_000}, {"pad_id": 65_536}, {"id_type": "u1"}):
+        with pytest.raises(ValueError, match="do not fit"):
+            token_output.packed_matrix(docs, WORD_FILE, 128, **bad)
+    (row,) = token_output.packed_matrix(docs, WORD_FILE, 128, end_id=70_000, id_type="<u4").collect()
+    assert np.frombuffer(row.ids, "<u4")[row.n_tokens - 1] == 70_000
