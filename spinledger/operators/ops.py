@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinledger.functions.columns import ratio
+from spinledger.functions.quantiles import exact_medians
 from spinledger.functions.skew import salted_lookup
 from spinledger.operators.catalog import split_totals
 from spinledger.schemas import BASIS_POINTS
@@ -132,14 +133,15 @@ def active_split_validity(sheets: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dispute_metrics(disputes: DataFrame) -> DataFrame:
-    """Dispute volume per reason with the mean and an approximate median of resolution hours."""
-    hours = (F.unix_micros("resolved_at") - F.unix_micros("created_at")) / F.lit(3.6e9)
-    return disputes.groupBy("reason").agg(
+    """Dispute volume per reason with the mean and the exact median of resolution hours."""
+    timed = disputes.withColumn("_hours", (F.unix_micros("resolved_at") - F.unix_micros("created_at")) / F.lit(3.6e9))
+    counts = timed.groupBy("reason").agg(
         F.count(F.lit(1)).alias("disputes"),
         F.count_if(F.col("status") == "open").alias("open"),
-        F.round(F.avg(hours), 4).alias("mean_hours"),
-        F.percentile_approx(hours, 0.5).alias("median_hours"),
+        F.round(F.avg("_hours"), 4).alias("mean_hours"),
     )
+    medians = exact_medians(timed, ["reason"], "_hours", "median_hours").withColumnRenamed("reason", "_reason")
+    return counts.join(medians, F.col("reason").eqNullSafe(F.col("_reason")), "left").drop("_reason")
 
 
 def reconciliation_rate(detections: DataFrame, statement_lines: DataFrame) -> DataFrame:

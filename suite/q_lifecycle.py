@@ -102,10 +102,19 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "dispute_metrics",
-    f"select reason, count(*) as disputes, count(*) filter (status = 'open') as open, round(avg(hours), 4) as mean_hours from {DISPUTES} group by 1",
+    f"select reason, count(*) as disputes, count(*) filter (status = 'open') as open, round(avg(hours), 4) as mean_hours, median(hours) as median_hours from {DISPUTES} group by 1",
 )
 def _(t: Tables) -> DataFrame:
-    return ops.dispute_metrics(dispute_rows(t)).drop("median_hours")
+    return ops.dispute_metrics(dispute_rows(t))
+
+
+@query(
+    "active_split_validity",
+    """select count(*) as active_sheets, count(*) filter (total = 10000) as valid_sheets, round(count(*) filter (total = 10000) / count(*), 4) as valid_ratio
+    from (select s.split_sheet_id, coalesce(sum(share_basis_points), 0) as total from sheets s left join split_lines l using (split_sheet_id) where s.status = 'active' group by 1)""",
+)
+def _(t: Tables) -> DataFrame:
+    return ops.active_split_validity(t.sheets, t.split_lines)
 
 
 @query(
