@@ -156,18 +156,20 @@ def pair_peaks(peaks: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -
 
     Sorted by frame, loudness and bin, the targets are simply the rows that follow,
     so one ordered pass replaces an interval self-join. A frame may hold at most
-    ``max_peaks_per_frame`` peaks, as ``find_peaks`` guarantees.
+    ``max_peaks_per_frame`` peaks, as ``find_peaks`` guarantees; more end the job.
     """
     ordered = peaks.withColumn("_quiet", -F.col("magnitude"))
     order = ["frame", "_quiet", "bin"]
     reach = cfg.max_peaks_per_frame * cfg.min_delta_frames - 1 + cfg.fanout
     haloed = with_halo(ordered, "frame", FRAMES_PER_SLICE, 0, cfg.max_delta_frames)
     ahead = Window.partitionBy("clip_id", SLICE).orderBy(*order).rowsBetween(1, reach)
-    anchors = haloed.withColumn("_ahead", F.collect_list(F.struct("frame", "bin")).over(ahead)).where(CORE)
+    most = cfg.max_peaks_per_frame
+    crowded = F.lead("frame", most).over(Window.partitionBy("clip_id", SLICE).orderBy(*order)) == F.col("frame")
+    anchors = haloed.withColumn("_ahead", F.collect_list(F.struct("frame", "bin")).over(ahead)).withColumn("_crowded", crowded).where(CORE)
     distance_ok = lambda t: (t.frame - F.col("frame")).between(cfg.min_delta_frames, cfg.max_delta_frames)
     anchors = anchors.select(
-        "clip_id", *order, F.slice(F.filter("_ahead", distance_ok), 1, cfg.fanout).alias("targets")
-    ).withColumn("_n", F.size("targets"))
+        "clip_id", *order, "_crowded", F.slice(F.filter("_ahead", distance_ok), 1, cfg.fanout).alias("targets")
+    ).withColumn("_n", F.when(F.col("_crowded"), F.raise_error(F.lit(f"a frame holds more than {most} peaks"))).otherwise(F.size("targets")))
     numbered = scan_slices(
         anchors, ["clip_id"], order, slice_of("frame", FRAMES_PER_SLICE), sum_through={"_through": "_n"}
     )

@@ -174,6 +174,13 @@ def test_landmark_numbering_is_independent_of_slices(spark, monkeypatch):
     assert whole == sorted(expected)
 
 
+def test_too_many_peaks_in_a_frame(spark):
+    peaks = spark.createDataFrame([("c", 1, b, 1.0) for b in (10, 11, 12)] + [("c", 2, 10, 1.0)], "clip_id string, frame int, bin int, magnitude double")
+    assert features.pair_peaks(peaks, FingerprintConfig(max_peaks_per_frame=3)).count() == 3
+    with pytest.raises(Exception, match="more than 2 peaks"):
+        features.pair_peaks(peaks, FingerprintConfig(max_peaks_per_frame=2)).collect()
+
+
 def test_enroll_replaces_and_refuses(spark):
     _, table = frames_of(spark, {"q": [(1, 1, 1)]}, {"a": [(1, 1, 1), (2, 2, 2)], "b": [(3, 3, 3)]})
     new = spark.createDataFrame(
