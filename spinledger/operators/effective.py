@@ -107,7 +107,7 @@ def active_split(usage: DataFrame, sheets: DataFrame, recording_works: DataFrame
         payload=["split_sheet_id"],
     )
     links = recording_works.select("recording_id", "work_id").distinct()
-    linked = usage.where(F.col("right_type").isNull() | ~master).join(links, "recording_id", "left").select(*usage.columns, "work_id")
+    linked = usage.where(F.col("right_type").isNull() | ~master).join(links.hint("merge"), "recording_id", "left").select(*usage.columns, "work_id")
     of_works = effective_at(
         linked, active.where(~master).select("work_id", *columns), ["work_id", "right_type"], at="used_on", payload=["split_sheet_id"]
     )
@@ -154,7 +154,7 @@ def supersede(sheets: DataFrame, activated: DataFrame) -> DataFrame:
     )
     older = (F.col("status") == "active") & F.col("_new").isNotNull() & (F.col("split_sheet_id") != F.col("_new"))
     return (
-        sheets.join(new, same_asset, "left")
+        sheets.join(new.hint("merge"), same_asset, "left")
         .withColumn("_older", older)
         .withColumn("valid_to", F.when(F.col("_older"), F.col("_new_from")).otherwise(F.col("valid_to")))
         .withColumn("status", F.when(F.col("_older"), "superseded").otherwise(F.col("status")))

@@ -144,7 +144,7 @@ def reconcile_log(
         .groupBy("source_code", "detection_id")
         .agg(F.min("log_index").alias("log_index"))
     )
-    return candidates.join(best, ["source_code", "detection_id"], "left").withColumn(
+    return candidates.join(best.hint("merge"), ["source_code", "detection_id"], "left").withColumn(
         "log_reconciliation",
         F.when(F.col("log_index").isNotNull(), "confirmed_by_log").otherwise("candidate_not_in_log"),
     )
@@ -153,7 +153,7 @@ def reconcile_log(
 def log_gaps(logs: DataFrame, reconciled: DataFrame) -> DataFrame:
     """Log rows no candidate was confirmed by."""
     matched = reconciled.where(F.col("log_index").isNotNull()).select("source_code", "log_index").distinct()
-    return logs.join(matched, ["source_code", "log_index"], "left_anti")
+    return logs.join(matched.hint("merge"), ["source_code", "log_index"], "left_anti")
 
 
 def classify_gap(gaps: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def classify_gap(gaps: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     known = salted_lookup(found, catalog_keys, ["r"], spread_by=row, how="left_semi")
     return gaps.join(
-        known.select(*row).distinct().withColumn("is_known", F.lit(True)), row, "left"
+        known.select(*row).distinct().withColumn("is_known", F.lit(True)).hint("merge"), row, "left"
     ).withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 

@@ -66,7 +66,7 @@ def eligible_usage(detections: DataFrame, disputes: DataFrame) -> tuple[DataFram
         (F.col("_open").isNotNull(), "open_dispute"),
         (~F.coalesce("overlap_resolved", F.lit(False)), "overlap_unresolved"),
     )
-    marked = detections.join(opened, "detection_id", "left").withColumn("hold_reasons", reasons).drop("_open")
+    marked = detections.join(opened.hint("merge"), "detection_id", "left").withColumn("hold_reasons", reasons).drop("_open")
     return marked.where(F.size("hold_reasons") == 0).drop("hold_reasons"), marked.where(F.size("hold_reasons") > 0)
 
 
@@ -138,7 +138,7 @@ def validate_recipients(lines: DataFrame, sheet: str = "split_sheet_id") -> tupl
     """(lines of sheets that can settle, sheets that cannot)."""
     judged = recipient_errors(lines, sheet)
     sound = judged.where(F.size("errors") == 0).select(sheet)
-    return lines.join(sound, sheet, "left_semi"), judged.where(F.size("errors") > 0)
+    return lines.join(sound.hint("merge"), sheet, "left_semi"), judged.where(F.size("errors") > 0)
 
 
 def largest_remainder(rows: DataFrame, item: str = "usage_id", quantum_digits: int = 0) -> DataFrame:
@@ -218,7 +218,7 @@ def allocate(
     zero = sound.where(F.col("share_basis_points") == 0).select(
         sheet, "split_line_id", "line_no", "party_id", "role", "share_basis_points"
     )
-    unpaid = usage.join(zero, sheet).select(
+    unpaid = usage.join(zero.hint("merge"), sheet).select(
         *usage.columns,
         "split_line_id",
         "line_no",

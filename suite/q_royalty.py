@@ -65,7 +65,7 @@ def allocations(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     lines, _refused = royalty.validate_recipients(t.split_lines)
-    rows = settled_usage(t).join(lines, "split_sheet_id")
+    rows = settled_usage(t).join(lines.hint("merge"), "split_sheet_id")
     return royalty.largest_remainder(rows).select(
         "usage_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("settled_amount").cast("bigint").alias("settled_amount")
     )
