@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spinledger.functions.columns import ratio
 from spinledger.functions.quantiles import exact_medians
 from spinledger.functions.skew import salted_lookup
-from spinledger.operators.catalog import split_totals
+from spinledger.operators.catalog import id_totals
 from spinledger.schemas import BASIS_POINTS
 
 # The retry clock.
@@ -125,7 +125,7 @@ def quality_by_class(candidates: DataFrame, gaps: DataFrame, sources: DataFrame)
 
 def active_split_validity(sheets: DataFrame, lines: DataFrame) -> DataFrame:
     """Active sheets, how many total exactly 10 000 and the share of those."""
-    active = split_totals(sheets.where(F.col("status") == "active"), lines)
+    active = id_totals(sheets.where(F.col("status") == "active"), lines)
     return active.agg(
         F.count(F.lit(1)).alias("active_sheets"),
         F.count_if(F.col("total_basis_points") == BASIS_POINTS).alias("valid_sheets"),
