@@ -7,7 +7,7 @@ one station: every ordered step works on time slices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinledger.config import SegmenterConfig
@@ -100,16 +100,22 @@ def interval_union_seconds(blocks: DataFrame) -> DataFrame:
     )
 
 
-def cluster_event(blocks: DataFrame) -> DataFrame:
-    """One row per cluster: bounds, covered seconds, windows, weighted confidence."""
+def _clusters(blocks: DataFrame) -> DataFrame:
     new = F.col("end") - F.greatest("start", F.coalesce("_reach", F.col("start")))
-    clusters = blocks.groupBy("session_id", "track_id", "cluster_start").agg(
+    return blocks.groupBy("session_id", "track_id", "cluster_start").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum(F.greatest(F.lit(0.0), new)).alias("covered"),
         F.sum("windows").alias("evidence_windows"),
         (F.sum("weighted") / F.greatest(F.sum("evidence_seconds"), F.lit(1e-12))).alias("mean"),
     )
+
+
+def _confidence(mean: Column) -> Column:
+    return F.round(F.least(F.lit(1.0), mean), 4)
+
+
+def _events_of(clusters: DataFrame) -> DataFrame:
     return clusters.select(
         "session_id",
         "track_id",
@@ -117,13 +123,63 @@ def cluster_event(blocks: DataFrame) -> DataFrame:
         F.round("end", 4).alias("ended_at_seconds"),
         F.round("covered", 4).alias("matched_seconds"),
         "evidence_windows",
-        F.round(F.least(F.lit(1.0), F.col("mean")), 4).alias("confidence"),
+        _confidence(F.col("mean")).alias("confidence"),
     )
 
 
+def cluster_event(blocks: DataFrame) -> DataFrame:
+    """One row per cluster: bounds, covered seconds, windows, weighted confidence.
+
+    The confidence is a sum of sums; where the last digit hangs on the order of the
+    additions, :func:`window_clusters` decides it.
+    """
+    return _events_of(_clusters(blocks))
+
+
+def _summed_in_order(windows: DataFrame, clusters: DataFrame, slice_seconds: float) -> DataFrame:
+    """``clusters`` with ``_ordered``: their mean confidence, added window by window from the earliest on.
+
+    Running sums go through a cluster row by row, so that a long one takes time, not memory.
+    """
+    id_ = ["session_id", "track_id", "cluster_start"]
+    spans = clusters.select(*id_, "end", F.explode(spanned_slices("start", "end", slice_seconds)).alias(SLICE))
+    inside = (
+        windows.withColumn(SLICE, slice_of("started_at_seconds", slice_seconds))
+        .join(spans.hint("merge"), ["session_id", "track_id", SLICE])
+        .where(F.col("started_at_seconds").between(F.col("cluster_start"), F.col("end")))
+    )
+    order = Window.partitionBy(*id_).orderBy("started_at_seconds", "ended_at_seconds", "confidence")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    length = F.col("ended_at_seconds") - F.col("started_at_seconds")
+    sums = inside.select(
+        *id_,
+        F.sum(length * F.col("confidence")).over(running).alias("_weighted"),
+        F.sum(length).over(running).alias("_seconds"),
+    )
+    # Terms are not negative, so the largest running sum is the last one.
+    mean = F.max("_weighted") / F.greatest(F.max("_seconds"), F.lit(1e-12))
+    return clusters.join(sums.groupBy(*id_).agg(mean.alias("_ordered")).hint("merge"), id_, "left")
+
+
+def window_clusters(windows: DataFrame, gap: float = 12.0, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
+    """:func:`cluster_event` of windows, with the confidence that adding them in order of time gives.
+
+    Two orders of adding differ by a known bound; only the few clusters in which it reaches
+    over a rounding border are added up again in order.
+    """
+    blocks = sessionize_windows(windows, gap, slice_seconds)
+    bound = (F.col("evidence_windows") * 4 + 8) * F.lit(2.0**-53)
+    low, high = (_confidence(F.col("mean") * (1 + sign * bound)) for sign in (-1, 1))
+    clusters = cut(_clusters(blocks).withColumn("_open", (F.col("evidence_windows") > 2) & (low != high)))
+    settled = _summed_in_order(windows, clusters.where("_open"), slice_seconds)
+    mean = F.coalesce("_ordered", "mean")
+    both = clusters.where(~F.col("_open")).unionByName(settled.withColumn("mean", mean).drop("_ordered"))
+    return _events_of(both)
+
+
 def play_events(windows: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
     """Clusters long enough to count as a play."""
-    events = cluster_event(sessionize_windows(windows, cfg.max_gap_seconds))
+    events = window_clusters(windows, cfg.max_gap_seconds)
     long_enough = F.col("ended_at_seconds") - F.col("started_at_seconds") >= cfg.min_play_seconds
     return events.where(long_enough).withColumn(
         "event_id", stable_id("session_id", "track_id", "started_at_seconds")

@@ -47,7 +47,7 @@ def _(t: Tables) -> DataFrame:
     f"select {', '.join(EVENT)} from all_clusters",
 )
 def _(t: Tables) -> DataFrame:
-    return seg.cluster_event(seg.sessionize_windows(valid(t))).select(*EVENT)
+    return seg.window_clusters(valid(t)).select(*EVENT)
 
 
 @query(

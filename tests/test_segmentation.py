@@ -120,3 +120,17 @@ def test_suppress_close_walks_in_order(spark):
     df = spark.createDataFrame([("s", t, 1.0) for t in times], "session_id string, at_seconds double, score double")
     kept = sorted(r.at_seconds for r in features.suppress_close(df, 8.0, width=10.0).collect())
     assert kept == [0.0, 9.0, 17.0, 40.0, 49.0]
+
+
+@pytest.mark.parametrize("width", [1e9, 3_600.0, 30.0])
+def test_confidence_is_added_in_order_of_time(spark, width):
+    """The mean lies on a rounding border, and a sum of the blocks' sums falls on its other side."""
+    rows = [(2476.0, 2513.0, 0.66), (2514.0, 2570.0, 0.99), (2530.0, 2557.0, 0.55)]
+    weighted = seconds = 0.0
+    for start, end, confidence in rows:
+        weighted, seconds = weighted + (end - start) * confidence, seconds + (end - start)
+    expected = int(weighted / seconds * 10_000 + 0.5) / 10_000
+    windows = spark.createDataFrame([("s", "a", *r) for r in reversed(rows)], WINDOWS)
+    found = seg.window_clusters(windows, 12.0, width).collect()
+    assert [(r.evidence_windows, r.confidence) for r in found] == [(3, expected)]
+    assert seg.play_events(windows).first()["confidence"] == expected
