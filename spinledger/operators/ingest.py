@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig, MatcherConfig
 from spinledger.functions.columns import seconds_between, stable_id
+from spinledger.functions.lineage import cut
 from spinledger.functions.skew import salted_lookup
 from spinledger.operators.matching import chunk_landmarks, match
 
@@ -38,7 +39,8 @@ def split_replays(
     receipt is older than the batch, ``_old_source``.
     """
     old = receipts.select("edge_chunk_id", "receipt_id", F.col("source_id").alias("_old_source"))
-    met = salted_lookup(manifests, old, ["edge_chunk_id"], spread_by=["arrival"], salts=1)
+    # Every result below reads these rows, most of them several times; manifests are costly to validate.
+    met = cut(salted_lookup(manifests, old, ["edge_chunk_id"], spread_by=["arrival"], salts=1))
     before = met.where(F.col("receipt_id").isNotNull())
     found, lost = resolve_source(met.where(F.col("receipt_id").isNull()).drop("receipt_id", "_old_source"), sources)
     first = found.groupBy("edge_chunk_id").agg(F.min("arrival").alias("_first"))

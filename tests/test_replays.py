@@ -36,3 +36,19 @@ def test_repeated_documents_are_refused_by_the_acceptance_loop(spark):
         catalog.onboarding_conflicts(docs, {})
     with pytest.raises(ValueError, match="unique"):
         catalog.onboarding_conflicts(spark.createDataFrame([("d", 1), ("e", 1)], "doc_id string, doc_seq bigint"), {})
+
+
+def test_manifests_are_read_once_for_all_results(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def note(chunk):
+        read.add(1)
+        return chunk
+
+    rows = delivered(spark, ("a", "known", 1), ("a", "other", 2), ("b", "stranger", 3))
+    noted = rows.withColumn("edge_chunk_id", F.udf(note, "string")("edge_chunk_id"))
+    sources = spark.createDataFrame([("known", "s1"), ("other", "s2")], "source_code string, source_id string")
+    receipts = spark.createDataFrame([], "edge_chunk_id string, receipt_id string, source_id string")
+    out = ingest.ingest(noted, receipts, spark.createDataFrame([], "capture_chunk_id string"), sources, None, "v1")
+    assert [out[name].count() for name in ("receipts", "replays", "unknown_sources", "audit")] == [1, 1, 1, 1]
+    assert read.value == 3
