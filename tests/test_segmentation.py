@@ -115,6 +115,15 @@ def test_steady_sound_has_no_boundary_and_a_change_has_one(spark):
     assert features.acoustic_boundaries(steady, cfg).count() == 0
 
 
+def test_frames_whose_equal_scores_differ_in_last_digits_are_both_maximal(spark):
+    scores = [0.0, 0.0, 5.0, 0.0, 5.0 + 1e-15, 0.0, 4.9, 0.0, 0.0, 0.0]
+    assert scores[2] != scores[4]
+    rows = [("s", i, float(i), x) for i, x in enumerate(scores)]
+    df = spark.createDataFrame(rows, "session_id string, frame int, at_seconds double, score double")
+    cfg = SegmenterConfig(sample_rate=2, hop_size=1)
+    assert sorted(r.frame for r in features.local_maxima(df, cfg).collect()) == [2, 4]
+
+
 def test_suppress_close_walks_in_order(spark):
     times = [0.0, 5.0, 9.0, 12.0, 17.0, 40.0, 46.0, 49.0]
     df = spark.createDataFrame([("s", t, 1.0) for t in times], "session_id string, at_seconds double, score double")
