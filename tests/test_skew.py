@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spinledger.functions.skew import salted_lookup
+from suite.projections import Tables
+from suite.q_audits import ledger
 
 
 @pytest.mark.parametrize("salts", [1, 8])
@@ -27,3 +29,17 @@ def test_a_small_dimension_is_still_broadcast(spark, tmp_path):
     found = salted_lookup(facts, spark.read.parquet(path), ["k"], spread_by=["fact"])
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert found.where(F.col("v") == F.col("k") + 1).count() == 1_000_000
+
+
+def test_split_lines_of_allocations_are_not_broadcast(spark, tmp_path):
+    """Lines are exploded from recordings, which Spark's size check counts as one row each."""
+    source = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{source}/part.parquet")
+    shifted = parts.crossJoin(spark.range(20).withColumnRenamed("id", "k")).withColumn("p_partkey", F.expr("p_partkey + k * 1000000")).drop("k")
+    shifted.write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{source}/{name}.parquet")
+    lines = ledger(Tables(spark, str(tmp_path)))["royalty_allocations"]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    joins = [step for step in plan.splitlines() if "Join" in step and "line_no" in step]
+    assert joins and all("SortMergeJoin" in step for step in joins)
