@@ -23,6 +23,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spinledger.llm.common import materialize
+
 # Notices and opening clauses of public licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -157,7 +159,37 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 def scan_texts(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """The rows of ``scan_licenses``, also for complete licence texts, and those of ``scan_passages``."""
     texts = TEMPLATES | complete_texts() if templates is None else templates
-    return scan_licenses(docs, texts, threshold).unionByName(scan_passages(docs, texts, threshold))
+    near = materialize(possible_texts(docs, texts, threshold), "possible")
+    return scan_licenses(near, texts, threshold).unionByName(scan_passages(near, texts, threshold))
+
+
+def possible_texts(docs: DataFrame, templates: dict[str, str], threshold: float = 0.8) -> DataFrame:
+    """The rows (doc_id, text) of ``docs`` in which any line, passage or the whole text may reach ``threshold``.
+
+    What reaches it has one of a template's anchors, and all bigrams of a line or passage
+    are bigrams of its whole text, so no match is lost.
+    """
+    known = usable(templates)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    if not known:
+        return own.limit(0)
+    rare = anchors_of(known, hashes(docs.sparkSession, known), needed(known, threshold))
+    return own.filter(F.exists(pairs(F.col("text")), lambda g: g.isin(*rare)))
+
+
+def needed(known: dict[str, list[str]], threshold: float) -> dict[str, int]:
+    """How many of a template's bigrams a text that reaches ``threshold`` shares at least."""
+    near = threshold / (2 - threshold)
+    return {name: -int(-(len(grams) * near - 1e-9) // 1) for name, grams in known.items()}
+
+
+def anchors_of(known: dict[str, list[str]], hashed: dict[str, list[int]], need: dict[str, int]) -> list[int]:
+    """For each template a few more bigrams than may be missing; one of them is in each text that reaches the threshold."""
+    anchors: set[int] = set()
+    for name, grams in known.items():
+        rare = sorted(range(len(grams)), key=lambda i: (-len(grams[i]), grams[i]))  # noqa: B023
+        anchors.update(hashed[name][i] for i in rare[: len(grams) - need[name] + 1])
+    return sorted(anchors)
 
 
 def scan_passages(docs: DataFrame, templates: dict[str, str], threshold: float = 0.8) -> DataFrame:
@@ -174,11 +206,8 @@ def scan_passages(docs: DataFrame, templates: dict[str, str], threshold: float =
     hashed = hashes(docs.sparkSession, known)
     full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     near = threshold / (2 - threshold)
-    need = {name: -int(-(len(grams) * near - 1e-9) // 1) for name, grams in known.items()}
-    anchors: set[int] = set()
-    for name, grams in known.items():
-        rare = sorted(range(len(grams)), key=lambda i: (-len(grams[i]), grams[i]))  # noqa: B023
-        anchors.update(hashed[name][i] for i in rare[: len(grams) - need[name] + 1])
+    need = needed(known, threshold)
+    anchors = anchors_of(known, hashed, need)
     template = F.array(
         *[
             F.struct(
@@ -242,7 +271,7 @@ def scan_passages(docs: DataFrame, templates: dict[str, str], threshold: float =
     return (
         full.filter(F.length("text") > 2 * min(need.values()))
         .select("doc_id", "text", F.explode(F.array(pairs(F.col("text")))).alias("pairs"))
-        .filter(F.exists("pairs", lambda g: g.isin(*sorted(anchors))))
+        .filter(F.exists("pairs", lambda g: g.isin(*anchors)))
         .select("doc_id", "text", "pairs", F.explode(apart).alias("w"))
         .select("doc_id", "pairs", "w", F.explode(F.array(counts)).alias("counts"))
         .select("doc_id", "pairs", "w", F.explode(F.array(spans)).alias("spans"))

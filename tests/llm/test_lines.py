@@ -105,3 +105,18 @@ def test_license_scan_finds_wrapped_and_embedded_passages(spark):
     assert own == [(4, 42, "mit-text", 1.0), (4, 100, "mit", 1.0)]  # the file begins with two empty lines
     assert [r for r in found if r[0] == 5] == [(5, 40, "gpl-3.0", 1.0)]
     assert not [r for r in found if r[0] == 6]
+
+
+def test_license_scan_drops_texts_without_anchors_and_no_match(spark):
+    words = licenses.TEMPLATES["gpl-2.0"].split()
+    rows = [(1, "plain words of no licence\nand more of them"), (2, None), (3, ""), (None, licenses.TEMPLATES["mit"])]
+    rows += [(10 + i, "\n".join(["Some text", " ".join(words[i:] + ["x"] * (i % 2)), "more"])) for i in range(6)]
+    rows += [(20, "a b\n" + licenses.TEMPLATES["unlicense"].replace(" ", "\n") + "\nc d")]
+    texts = licenses.TEMPLATES | licenses.complete_texts()
+    kept = licenses.possible_texts(docs_of(spark, rows), texts)
+    assert not {1, 2, 3} & {r.doc_id for r in kept.collect()}
+    docs = docs_of(spark, rows)
+    apart = licenses.scan_licenses(docs, texts).unionByName(licenses.scan_passages(docs, texts))
+    found = licenses.scan_texts(docs)
+    order = lambda frame: sorted(map(str, frame.collect()))
+    assert order(found) == order(apart) and any(r.doc_id == 20 for r in found.collect())
