@@ -119,3 +119,20 @@ def test_repeated_rows_and_labels(spark):
     both = labels.union(spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int"))
     found = tx.score_documents(docs, both).collect()
     assert len(found) == 202 and len({tuple(r) for r in found if r.doc_id == 0}) == 1
+
+
+def test_pairs_that_share_a_slot_keep_their_own_probabilities(spark):
+    rows = texts_of(6, 400)
+    frame = spark.createDataFrame([(t, x) for _, t, x in rows], "text string, toxic boolean")
+    wide, narrow = tx.fit_models(frame, 1 << 16, 1 << 20), tx.fit_models(frame, 1 << 16, 1)
+    assert len(narrow.rest_keys) > 10 and not len(wide.rest_keys)
+    ids = tx._Ids()
+    texts = [t for _, t, _ in rows]
+    assert np.array_equal(wide.features(texts, ids), narrow.features(texts, ids))
+
+
+@pytest.mark.parametrize("slots,held", [(1, 1 << 20), (2, 0)])
+def test_scores_do_not_depend_on_slots_of_pairs(spark, slots, held):
+    rows = [*texts_of(7, 300), (1000, None, False), (1001, "", True)]
+    found = [sorted(map(tuple, tx.score_documents(*tables(spark, rows), 1 << 16, *by).collect())) for by in ((1 << 20,), (slots, held))]
+    assert found[0] == found[1] and len(found[0]) == 302
