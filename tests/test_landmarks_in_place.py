@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig
-from spinledger.operators import features
+from spinledger.operators import features, matching
 from suite.projections import Tables
 
 
@@ -31,3 +31,22 @@ def test_listed_peaks_give_the_same_landmarks(spark):
 def test_landmarks_of_texts_need_no_shuffle(spark, tmp_path):
     spark.createDataFrame([(1, "a song a dance of the night")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert _shuffles(Tables(spark, str(tmp_path)).document_landmarks) == 0
+
+
+def test_a_small_index_gives_the_same_hits_and_votes_without_shuffling_hits(spark, monkeypatch):
+    rng = random.Random(7)
+    marks = lambda ids, n: [("v1", i, k, rng.randrange(60), rng.randrange(-3, 3), rng.choice([0, 1, 2, 3, 9, 40, 60]), n) for i in ids for k in range(n)]
+    queries = spark.createDataFrame(marks("pqr", 30), "schema_id string, query_id string, query_index int, anchor_frame int, ratio_bin int, delta_frames int, query_hashes long")
+    index = spark.createDataFrame(marks("xy", 40), "schema_id string, track_id string, hash_index int, anchor_frame int, ratio_bin int, delta_frames int, track_hashes long")
+    dealt = queries.repartition(3, "query_id")
+    hits = matching.landmark_hits(dealt, index)
+    votes = matching.vote(hits, dealt=True)
+    assert _shuffles(votes.select("query_id")) <= 1 + _shuffles(hits)  # at most the distances' distinct and the dealing
+    here = [sorted(map(str, d.collect())) for d in (hits.select(sorted(hits.columns)), votes.select(sorted(votes.columns)))]
+    best = sorted(map(str, matching.match(dealt, index, dealt=True).collect()))
+    monkeypatch.setattr(matching, "INDEX_ROWS", 0)
+    hits = matching.landmark_hits(queries, index)
+    votes = matching.vote(hits)
+    assert here == [sorted(map(str, d.collect())) for d in (hits.select(sorted(hits.columns)), votes.select(sorted(votes.columns)))]
+    assert best == sorted(map(str, matching.match(queries, index).collect()))
+    assert here[0]
