@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spinledger.config import FingerprintConfig, MatcherConfig
-from spinledger.operators import alignments, matching
+from spinledger.operators import alignments, features, matching
+from suite import projections
 from test_matching import CFG, SCALES, frames_of, random_marks
 
 
@@ -78,7 +80,7 @@ def test_pieces_do_not_change_counts(monkeypatch, meetings, landmarks):
 
     def counted(kernel, width):
         ways, found = alignments.Ways(FingerprintConfig(), MatcherConfig().tempo_scales), []
-        for rows in alignments._whole_queries(iter(asked.to_batches(max_chunksize=23))):
+        for rows in alignments._whole_queries((pa.Table.from_batches([b]) for b in asked.to_batches(max_chunksize=23))):
             for met in alignments._meetings(alignments.Queries(rows, whole, ways), whole, ways):
                 for columns in kernel(met):
                     found += zip(*(c.to_pylist() for c in columns))
@@ -94,3 +96,31 @@ def test_pieces_do_not_change_counts(monkeypatch, meetings, landmarks):
     monkeypatch.setattr(alignments, "MEETINGS", meetings)
     monkeypatch.setattr(alignments, "LANDMARKS", landmarks)
     assert [counted(*k) for k in kernels] == at_once
+
+
+def test_landmarks_of_texts_in_a_task(spark, tmp_path):
+    """The extractor's landmarks are those of the projection, whatever the texts."""
+    texts = ["", " ", "a", "one", "a b", "of the  house ", "é ü 漢字 😀x naïve", None, "word " * 50, "the cat sat on the mat and the dog"] * 3
+    rng = random.Random(4)
+    texts += [" ".join("".join(rng.choices("abcdé漢", k=rng.randrange(7))) for _ in range(rng.randrange(60))) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    t = projections.Tables(spark, str(tmp_path))
+    index = spark.createDataFrame([], "track_id bigint")
+    rows, extractor = t.dealt_texts(index)
+    made = extractor.landmarks(rows)
+    assert made.dtypes == t.document_landmarks.select(*made.columns).dtypes
+    assert rows_of(made, made.columns) == rows_of(t.document_landmarks, made.columns)
+
+
+@pytest.mark.parametrize("cfg", [FingerprintConfig(), FingerprintConfig(max_peaks_per_frame=4, min_delta_frames=2, max_delta_frames=6, fanout=5)])
+def test_pairing_in_arrays(spark, cfg):
+    rng = random.Random(3)
+    rows = [(c, f, b, float(rng.randrange(5))) for c in range(3) for f in range(40) for b in rng.sample(range(10, 50), rng.randrange(4))]
+    marks = features.pair_peaks(spark.createDataFrame(rows, "clip_id int, frame int, bin int, magnitude double"), cfg)
+    rows.sort(key=lambda r: (r[0], r[1], -r[3], r[2]))
+    clip, frame, bins = (np.array([r[i] for r in rows]) for i in range(3))
+    anchor, ratio, delta = features.pair_ordered_peaks(clip, frame, bins, cfg)
+    wanted = [(r.clip_id, r.anchor_frame, r.ratio_bin, r.delta_frames) for r in marks.orderBy("clip_id", "hash_index").collect()]
+    assert list(zip(clip[anchor].tolist(), frame[anchor].tolist(), ratio.tolist(), delta.tolist())) == wanted
+    with pytest.raises(ValueError, match="more than 1 peaks"):
+        features.pair_ordered_peaks(np.zeros(2, int), np.zeros(2, int), np.arange(2), FingerprintConfig(max_peaks_per_frame=1))
