@@ -37,6 +37,8 @@ def test_counts_equal_rows_of_hits(spark):
     every = matching.alignment_votes(landmarks, index, CFG, SCALES)
     assert rows_of(every, columns) == rows_of(votes, columns)
     assert dict(every.dtypes) == {c: t for c, t in votes.dtypes if c != "first_seen"}
+    some = ["votes", "query_id", "offset_frames"]
+    assert rows_of(matching.alignment_votes(landmarks, index, CFG, SCALES, columns=some), some) == rows_of(votes, some)
     best = matching.best_alignments(landmarks, index, CFG, SCALES)
     assert rows_of(best, columns) == rows_of(matching.best_alignment(votes), columns)
     by = ["schema_id", "track_id", "tempo_scale", "ratio_step", "time_step"]
@@ -91,7 +93,8 @@ def test_pieces_do_not_change_counts(monkeypatch, meetings, landmarks):
             sums[row[:width]] = [a + b for a, b in zip(sums.get(row[:width], (0, 0)), row[width:])]
         return sums
 
-    kernels = [(alignments._every, 0), (alignments._best(1), 0), (alignments._best(4), 0), (alignments._hit_counts, 5)]
+    every = [*alignments.OWN, "tempo_scale", "offset_frames", "votes", "reference_hits"]
+    kernels = [(alignments._every(every), 0), (alignments._best(1), 0), (alignments._best(4), 0), (alignments._hit_counts, 5)]
     at_once = [counted(*k) for k in kernels]
     monkeypatch.setattr(alignments, "MEETINGS", meetings)
     monkeypatch.setattr(alignments, "LANDMARKS", landmarks)
